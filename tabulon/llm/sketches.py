@@ -13,8 +13,12 @@ from ._base import load, stored
 
 K = 128
 WORDS = 5
-#: Ids of one bucket when documents are put in order: 2 ** BUCKET_BITS at most.
+#: Documents of one bucket when they are put in order: about FEW while there are under BUCKETS buckets, up to MANY beyond.
+FEW, MANY, BUCKETS = 256, 65_536, 4_096
+#: Bits by which keys are dealt when buckets themselves are put in order.
 BUCKET_BITS = 8
+#: One row a bucket is broadcast up to so many buckets (24 bytes each).
+BROADCAST_ROWS = 2_000_000
 #: Keys that one task may order.
 ORDERED_AT_ONCE = 10_000
 LEAST_ID = -(1 << 63)
@@ -87,9 +91,12 @@ def with_next(docs: DataFrame, values: dict[str, Column], id_col: str = "doc_id"
 
     After the last document comes the first. A null id counts as the lowest; of rows that repeat an id, the smaller text
     comes first. Texts move once: by bucket of neighbouring ids; a bucket's last document gets its successor, the first
-    one of the bucket below, by a join of one row a bucket.
+    one of the bucket below, by a join of one row a bucket, whose texts alone are picked out by a second scan.
     """
-    rows = docs.withColumn("at", F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID))).withColumn("b", F.shiftright("at", BUCKET_BITS))
+    rows = docs.withColumn("at", F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)))
+    n, low, high = rows.agg(F.count(F.lit(1)), F.min(id_col), F.max(id_col)).first()
+    buckets = max(1, min(n // FEW, max(BUCKETS, n // MANY)))
+    rows = rows.withColumn("b", F.shiftright("at", max(1, ((high or 0) - (low or 0) + 1) // buckets).bit_length() - 1))
     tops = stored(rows.groupBy(F.col("b").alias("k")).agg(F.max("at").alias("top")), "tops")
     ends = tops.agg(F.min("k").alias("k"), F.max("k").alias("first"))
     below = next_lower(tops.select("k")).crossJoin(F.broadcast(ends.select("first"))).select(F.col("k").alias("of"), F.coalesce("nxt", "first").alias("b"))  # ends: one row
@@ -98,7 +105,8 @@ def with_next(docs: DataFrame, values: dict[str, Column], id_col: str = "doc_id"
     order = Window.partitionBy("b").orderBy(F.col("at").desc(), F.col("text").asc_nulls_first())
     own = dealt.withColumns(values).withColumn("last", F.lead(F.lit(1)).over(order).isNull())
     own = own.withColumns({f"in_{v}": F.lead(v).over(order) for v in values})
-    first = dealt.join(heads, "b").where("at = top").groupBy("b", "of").agg(F.min("text").alias("text"))
+    heads = heads.withColumnRenamed("b", "of_b")
+    first = rows.join(F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads, (F.col("b") == F.col("of_b")) & (F.col("at") == F.col("top"))).groupBy("b", "of").agg(F.min("text").alias("text"))
     first = first.withColumns(values).select(F.col("of").alias("b"), *(F.col(v).alias(f"out_{v}") for v in values))
     out = own.join(first, "b", "left")
     return out.select(*docs.columns, *values, *(F.when(F.col("last"), F.col(f"out_{v}")).otherwise(F.col(f"in_{v}")).alias(f"next_{v}") for v in values))
