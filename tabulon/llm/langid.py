@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from ._base import load, stored
 
 #: Labelled rows that the text model is fitted on, at most: those of the smallest hashes. Everything else covers all rows.
-SAMPLE = 4000
+SAMPLE = 2000
 #: Slots of the hashed n-gram tables: the model is languages x SLOTS floats, whatever the data.
 SLOTS = 1 << 15
 #: n-grams are not independent: a text's evidence grows to that of so many, whatever its length.
@@ -71,7 +71,10 @@ def _is_letter(x: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sample: int = SAMPLE) -> TextModel:
     """A model of the labels of at most ``sample`` rows; null labels and texts teach nothing."""
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(label_col).isNotNull()).select(F.col(text_col).cast("string").alias("t"), F.col(label_col).cast("string").alias("l"))
-    got = rows.orderBy(F.xxhash64("t", "l"), "t").limit(sample).collect()
+    rows = rows.withColumn("h", F.xxhash64("t", "l"))
+    # hashes first: texts come to the driver only for those that are taken, and once for rows that repeat
+    top = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
+    got = rows.where(F.col("h") <= top).dropDuplicates(["h"]).orderBy("h").collect() if top is not None else []
     languages = sorted({r.l for r in got})
     table = np.full((SLOTS, max(1, len(languages))), 0.05)
     for i, language in enumerate(languages):
