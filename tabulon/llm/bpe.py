@@ -28,7 +28,7 @@ from ._base import load
 #: Bytes: a chunk's least and greatest length; a cut falls on one position in MEAN on average.
 LEAST, MEAN, MOST = 128, 512, 8192
 #: Bytes of chunk text and ids that one worker keeps.
-TABLE_BYTES = 96_000_000
+TABLE_BYTES = 32_000_000
 
 #: Fixed value: the pre-tokenizer's pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"

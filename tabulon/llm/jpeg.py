@@ -25,7 +25,7 @@ ROW = 64
 #: Rows of blocks in an image; a longer payload becomes several images, one after the other. The format ends at 65535 lines.
 MAX_ROWS = 8191
 #: Payload bytes worked on together: bounds memory, whatever the length of texts or batches.
-TOGETHER = 1_000_000
+TOGETHER = 600_000
 #: Code lengths (1 to 16 bits) and symbols of our tables; DC sizes 0 to 8, AC end-of-block and a filler.
 DC_BITS, DC_SYMBOLS = (0, 2, 2, 2, 1, 1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0), (5, 7, 3, 4, 6, 0, 2, 1, 8)
 AC_BITS, AC_SYMBOLS = (1, 1, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0), (0x00, 0xF0)

@@ -28,7 +28,7 @@ EVIDENCE = 300
 LEAN = 8.0
 #: Posterior below which a row is rejected.
 CONFIDENCE = 0.5
-AT_ONCE = 1_000_000
+AT_ONCE = 300_000
 _SALT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
 

@@ -118,7 +118,7 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
     edits = found.select(F.col(id_col).alias("pii_id"), F.col("h").alias("pii_h"), F.expr(f"array_sort(concat({marks}))").alias("pii_marks")).where(F.size("pii_marks") > 0).distinct()
     edits = stored(edits, "edits")
     rows = docs.withColumn("pii_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
-    out = rows.join(edits, F.col(id_col).eqNullSafe(F.col("pii_id")) & (F.col("pii_key") == F.col("pii_h")), "left")
+    out = rows.join(edits.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("pii_id")) & (F.col("pii_key") == F.col("pii_h")), "left")
     t = f"`{text_col}`"
     step = f"case when m.start >= a.pos then named_struct('pos', m.end, 'out', concat(a.out, array(substring({t}, a.pos + 1, m.start - a.pos), m.label))) else named_struct('pos', greatest(a.pos, m.end), 'out', a.out) end"
     begin = "named_struct('pos', 0, 'out', cast(array() as array<string>))"

@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +32,7 @@ SEED = 42
 BUCKET_BITS = 6
 SPLIT_AT = 2_000_000
 #: Variants that a task holds at once; a bucket is worked through in sub-buckets of about so many.
-VARIANTS_AT_ONCE = 4_000_000
+VARIANTS_AT_ONCE = 1_000_000
 HASH_BITS = 24
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -85,7 +84,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             for t in texts:
                 held.append(shingle_hashes(t.as_py(), words))
                 size += len(held[-1])
-                if size > 500_000:
+                if size > 200_000:
                     made.append(majority(held))
                     held, size = [], 0
             made.append(majority(held))
@@ -198,11 +197,11 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
                 to = (linear_hash(part.view(np.uint64)) & low)[:, None] ^ syndromes[None, :]
                 yield pa.RecordBatch.from_arrays([pa.array(to.ravel().astype(np.int32)), pa.array(np.repeat(part, len(syndromes)))], names=["bucket", "fp"])
 
-    def meet(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = bucket_links(pdf["fp"].to_numpy().view(np.uint64), int(pdf["bucket"].iloc[0]), bits, radius)
-        return pd.DataFrame({"a": a.view(np.int64), "b": b.view(np.int64)})
+    def meet(group: pa.Table) -> pa.Table:
+        a, b = bucket_links(group["fp"].to_numpy().view(np.uint64), group["bucket"][0].as_py(), bits, radius)
+        return pa.table({"a": a.view(np.int64), "b": b.view(np.int64)})
 
-    return fps.mapInArrow(deal, "bucket int, fp long").groupBy("bucket").applyInPandas(meet, "a long, b long")
+    return fps.mapInArrow(deal, "bucket int, fp long").groupBy("bucket").applyInArrow(meet, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -247,7 +246,8 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> Dat
     """``docs`` with one document of each component: the one whose doc_id names it. Of rows that repeat this id, one stays."""
     found = stored(near_duplicates(docs, radius=radius, words=words).select("doc_id", "component_id"), "classes")
     keep = found.select(F.col("component_id").alias("keep_id")).distinct()
-    out = docs.join(keep, docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi")
+    # hinted, so that the plan is the same at every size
+    out = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi")
     repeated = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().where("count > 1").limit(1)
     return out.dropDuplicates(["doc_id"]) if repeated.count() else out
 

@@ -23,9 +23,9 @@ from ._base import load
 from .bpe import PATTERN
 
 #: Pre-tokens whose counts a worker keeps.
-KNOWN = 600_000
+KNOWN = 400_000
 #: Characters of text whose pre-tokens are counted together.
-AT_ONCE = 4_000_000
+AT_ONCE = 1_000_000
 _WORDS = regex.compile(PATTERN)
 
 
