@@ -56,3 +56,9 @@ def stored(df: DataFrame, tag: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tabulon-{tag}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` under names of our own, so that no column of the caller's clashes with one of an operator's; and the name of each."""
+    names = [f"__c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), dict(zip(df.columns, names, strict=True))

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import load, stored
+from ._base import load, shielded, stored
 
 WEIGHTS = (5, 2, 1)
 MOST = 3
@@ -61,7 +61,8 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     """
     rows = docs.select(*([F.col(c) for c in docs.columns] if keep else [F.col(id_col)]), word_count(F.col(text_col)).alias("mix_size"), F.coalesce(F.concat(F.lit("s"), F.col(source_col).cast("string")), F.lit("n")).alias("mix_source"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("mix_id"))
     salts = SALTS * max(1, -(-docs.count() // SALT_ROWS))
-    rows = rows.withColumns({"mix_class": size_class(F.col("mix_size")), "mix_salt": (_hex(F.col("mix_id"), 8) % salts).cast("int")})
+    # never null, and said so: else the join's null filter would count the words once more for each mention
+    rows = rows.withColumns({"mix_class": F.coalesce(size_class(F.col("mix_size")), F.lit(0)), "mix_salt": F.coalesce((_hex(F.col("mix_id"), 8) % salts).cast("int"), F.lit(0))})
     key = ["mix_source", "mix_class", "mix_salt"]
     counted = stored(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("words")), "buckets")
     sizes = counted.groupBy(F.col("mix_source").alias("skey")).agg(F.sum("words").alias("source_size")).withColumn("source", F.when(F.col("skey") != "n", F.substring("skey", 2, 1 << 30)))
@@ -79,10 +80,12 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     return out.drop(*key, "mix_id", "mix_before", "mix_offset", "mix_rank", "mix_expected")
 
 
-def mixed(docs: DataFrame, **how) -> DataFrame:
-    """``docs`` with each row as often as the mix takes it; same columns."""
-    out = copies(docs, **how).where("mix_copies > 0")
-    return out.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int")))).select(*docs.columns)
+def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **how) -> DataFrame:
+    """``docs`` with each row as often as the mix takes it; same columns, whatever they are called."""
+    inner, name = shielded(docs)
+    out = copies(inner, name[id_col], name[text_col], name[source_col], **how).where("mix_copies > 0")
+    out = out.withColumn("mix_copies", F.explode(F.sequence(F.lit(1), F.col("mix_copies").cast("int"))))
+    return out.select(*inner.columns).toDF(*docs.columns)
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import load, stored
+from ._base import load, shielded, stored
 
 #: Shares of an entity's information that a term may reveal before it is generalised, and before it is removed.
 GENERALISE, REMOVE = 0.6, 0.9
@@ -113,17 +113,19 @@ def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", *
 
     Overlapping spans are replaced once, from the first one's start to the last one's end, by the first one's label.
     """
-    found = spans(docs, id_col, text_col, **how)
+    inner, name = shielded(docs)
+    id_col, text_col = name[id_col], name[text_col]
+    found = spans(inner, id_col, text_col, **how)
     marks = ", ".join([*(f"transform({k}, v -> named_struct('start', v.start, 'end', v.end, 'label', '{label}'))" for k, label in LABELS.items()), "transform(terms, v -> named_struct('start', v.start, 'end', v.end, 'label', case when v.value = 'remove' then '' else '[TERM]' end))"])
     edits = found.select(F.col(id_col).alias("pii_id"), F.col("h").alias("pii_h"), F.expr(f"array_sort(concat({marks}))").alias("pii_marks")).where(F.size("pii_marks") > 0).distinct()
     edits = stored(edits, "edits")
-    rows = docs.withColumn("pii_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
+    rows = inner.withColumn("pii_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     out = rows.join(edits.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("pii_id")) & (F.col("pii_key") == F.col("pii_h")), "left")
     t = f"`{text_col}`"
     step = f"case when m.start >= a.pos then named_struct('pos', m.end, 'out', concat(a.out, array(substring({t}, a.pos + 1, m.start - a.pos), m.label))) else named_struct('pos', greatest(a.pos, m.end), 'out', a.out) end"
     begin = "named_struct('pos', 0, 'out', cast(array() as array<string>))"
     new = f"aggregate(pii_marks, {begin}, (a, m) -> {step}, a -> concat(array_join(a.out, ''), substring({t}, a.pos + 1)))"
-    return out.withColumn(text_col, F.expr(f"case when pii_marks is null then {t} else {new} end")).select(*docs.columns)
+    return out.withColumn(text_col, F.expr(f"case when pii_marks is null then {t} else {new} end")).select(*inner.columns).toDF(*docs.columns)
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,23 +93,23 @@ def with_next(docs: DataFrame, values: dict[str, Column], id_col: str = "doc_id"
     comes first. Texts move once: by bucket of neighbouring ids; a bucket's last document gets its successor, the first
     one of the bucket below, by a join of one row a bucket, whose texts alone are picked out by a second scan.
     """
-    rows = docs.withColumn("at", F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)))
+    rows = docs.withColumn("__at", F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)))
     n, low, high = rows.agg(F.count(F.lit(1)), F.min(id_col), F.max(id_col)).first()
     buckets = max(1, min(n // FEW, max(BUCKETS, n // MANY)))
-    rows = rows.withColumn("b", F.shiftright("at", max(1, ((high or 0) - (low or 0) + 1) // buckets).bit_length() - 1))
-    tops = stored(rows.groupBy(F.col("b").alias("k")).agg(F.max("at").alias("top")), "tops")
+    rows = rows.withColumn("__b", F.shiftright("__at", max(1, ((high or 0) - (low or 0) + 1) // buckets).bit_length() - 1))
+    tops = stored(rows.groupBy(F.col("__b").alias("k")).agg(F.max("__at").alias("__top")), "tops")
     ends = tops.agg(F.min("k").alias("k"), F.max("k").alias("first"))
-    below = next_lower(tops.select("k")).crossJoin(F.broadcast(ends.select("first"))).select(F.col("k").alias("of"), F.coalesce("nxt", "first").alias("b"))  # ends: one row
-    heads = tops.select(F.col("k").alias("b"), "top").join(below, "b")
-    dealt = rows.repartition("b")
-    order = Window.partitionBy("b").orderBy(F.col("at").desc(), F.col("text").asc_nulls_first())
-    own = dealt.withColumns(values).withColumn("last", F.lead(F.lit(1)).over(order).isNull())
-    own = own.withColumns({f"in_{v}": F.lead(v).over(order) for v in values})
-    heads = heads.withColumnRenamed("b", "of_b")
-    first = rows.join(F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads, (F.col("b") == F.col("of_b")) & (F.col("at") == F.col("top"))).groupBy("b", "of").agg(F.min("text").alias("text"))
-    first = first.withColumns(values).select(F.col("of").alias("b"), *(F.col(v).alias(f"out_{v}") for v in values))
-    out = own.join(first, "b", "left")
-    return out.select(*docs.columns, *values, *(F.when(F.col("last"), F.col(f"out_{v}")).otherwise(F.col(f"in_{v}")).alias(f"next_{v}") for v in values))
+    below = next_lower(tops.select("k")).crossJoin(F.broadcast(ends.select("first"))).select(F.col("k").alias("__of"), F.coalesce("nxt", "first").alias("__b"))  # ends: one row
+    heads = tops.select(F.col("k").alias("__b"), "__top").join(below, "__b")
+    dealt = rows.repartition("__b")
+    order = Window.partitionBy("__b").orderBy(F.col("__at").desc(), F.col("text").asc_nulls_first())
+    own = dealt.withColumns(values).withColumn("__last", F.lead(F.lit(1)).over(order).isNull())
+    own = own.withColumns({f"__in_{v}": F.lead(v).over(order) for v in values})
+    heads = heads.withColumnRenamed("__b", "__of_b")
+    first = rows.join(F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads, (F.col("__b") == F.col("__of_b")) & (F.col("__at") == F.col("__top"))).groupBy("__b", "__of").agg(F.min("text").alias("text"))
+    first = first.withColumns(values).select(F.col("__of").alias("__b"), *(F.col(v).alias(f"__out_{v}") for v in values))
+    out = own.join(first, "__b", "left")
+    return out.select(*docs.columns, *values, *(F.when(F.col("__last"), F.col(f"__out_{v}")).otherwise(F.col(f"__in_{v}")).alias(f"next_{v}") for v in values))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

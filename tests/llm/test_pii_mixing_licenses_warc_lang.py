@@ -38,7 +38,7 @@ def test_base_spans(spark):
 def test_revealing_terms_and_texts(spark):
     rows = [(i, f"some filler number{i} words secretcode near bob@example.com and more filler{i} here") for i in range(5)]
     rows += [(100 + i, f"some filler words near number and more here, nothing else {i}") for i in range(200)] + [(7, rows[0][1]), (8, None)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS pii_id")
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS pii_id", "1 AS h", "2 AS near")
     got = pii.spans(docs).collect()
     assert len(got) == len(rows)
     for x in got:
@@ -77,7 +77,7 @@ def test_sql(spark, duck, name):
 def test_mixing(spark):
     r = random.Random(1)
     rows = [(i, "w " * r.randint(0, 300), r.choice(["a", "a", "a", "b", "c", None])) for i in range(3000)] + [(7, None, "d"), (7, "", "d"), (5000, "w " * 20, "tiny"), (5000, "w " * 20, "tiny")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "1 AS mix_x")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = mixing.copies(docs).collect()
     assert len(got) == len(rows) and sorted(map(str, got)) == sorted(map(str, mixing.copies(docs).collect()))
     sizes, taken = {}, {}
@@ -91,7 +91,8 @@ def test_mixing(spark):
         assert abs(taken[s] / targets[s] - 1) < 0.05
     level = {s: targets[s] / w for s, w in zip(["a", "b", "c", "d", "tiny", None], [5, 2, 1, 5, 2, 1], strict=True) if targets[s] < 3 * sizes[s] - 1e-6}
     assert max(level.values()) - min(level.values()) < 1e-6 * max(level.values())
-    assert mixing.mixed(docs).columns == docs.columns and mixing.mixed(docs).count() == sum(x.mix_copies for x in got) and mixing.mixed(docs.limit(0)).count() == 0
+    clashing = docs.selectExpr("*", "1 AS mix_size", "2 AS n", "3 AS words")
+    assert mixing.mixed(clashing).columns == clashing.columns and mixing.mixed(clashing).count() == sum(x.mix_copies for x in got) and mixing.mixed(docs.limit(0)).count() == 0
 
 
 def test_licences(spark):

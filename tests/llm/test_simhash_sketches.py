@@ -106,7 +106,7 @@ def test_next_documents(spark, monkeypatch):
     monkeypatch.setattr(sketches, "ORDERED_AT_ONCE", 50)
     monkeypatch.setattr(sketches, "FEW", 20)
     rows = [(i, "".join(r.choice("ab cdé ") for _ in range(r.randint(0, 40)))) for i in r.sample(range(-(10**6), 10**6), 1500)] + [(None, "null id"), (2 * 10**6, "aa"), (2 * 10**6, "ab")]
-    got = [(x.doc_id, x.text, x.next_t) for x in sketches.with_next(spark.createDataFrame(rows, "doc_id long, text string"), {"t": sketches.F.col("text")}).collect()]
+    got = [(x.doc_id, x.text, x.next_t) for x in sketches.with_next(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS b", "2 AS last"), {"t": sketches.F.col("text")}).collect()]
     rows.sort(key=lambda x: (-(x[0] if x[0] is not None else -1 << 63), x[1]))
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted(got, key=key) == sorted([(a[0], a[1], b[1]) for a, b in zip(rows, rows[1:] + rows[:1], strict=True)], key=key)
