@@ -66,10 +66,13 @@ def copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sour
     key = ["mix_source", "mix_class", "mix_salt"]
     counted = stored(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.sum("mix_size").alias("words")), "buckets")
     sizes = counted.groupBy(F.col("mix_source").alias("skey")).agg(F.sum("words").alias("source_size")).withColumn("source", F.when(F.col("skey") != "n", F.substring("skey", 2, 1 << 30)))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("mix_source").orderBy("mix_class", "mix_salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # two levels, so that no task sums up all buckets of a hot source: classes are few, salts grow with the table
+    earlier = lambda parts, order: F.coalesce(F.sum("n").over(Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    by_class = counted.groupBy("mix_source", "mix_class").agg(F.sum("n").alias("n")).select("mix_source", "mix_class", earlier(["mix_source"], "mix_class").alias("mix_lower"))
+    counted = counted.withColumn("mix_within", earlier(["mix_source", "mix_class"], "mix_salt")).join(by_class, ["mix_source", "mix_class"])
     offset = _hex(F.concat(F.lit(f"{seed}|"), F.col("mix_source")), 5) / F.lit(float(1 << 20))
     shares = targets(sizes, weights, most).select(F.col("skey").alias("mix_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
-    buckets = counted.select(*key, before.alias("mix_before")).join(shares, "mix_source").withColumn("mix_offset", offset)
+    buckets = counted.select(*key, (F.col("mix_lower") + F.col("mix_within")).alias("mix_before")).join(shares, "mix_source").withColumn("mix_offset", offset)
     out = rows.join(buckets, key)
     tie = F.xxhash64(*[c for c, t in docs.dtypes if not t.startswith(("map", "variant"))]) if keep else F.lit(0)
     rank = F.col("mix_before") + F.row_number().over(Window.partitionBy(*key).orderBy("mix_size", F.col(id_col).asc_nulls_last(), tie))
