@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.types import KEY, field
-from ..operators.table import ROW, Table, columns_of, from_memory, numpy_of, open_table, typed, union
+from ..operators.table import ROW, Table, columns_of, from_memory, numpy_of, open_table, session, typed, union
 from . import paths
 
 
@@ -291,7 +291,18 @@ def _need(module: str) -> Any:
         raise ImportError(f"this format needs {module}") from e
 
 
-for _f in (Parquet(), Feather(), Json(), Npz(), Hdf5(), Root()):
+class Records(DataFormat):
+    """Record files, read only; told by ``format="records"``, not by extension."""
+
+    name = "records"
+
+    def read(self, path: str, columns: list[str] | None = None, **how: Any) -> Table:
+        from . import records
+
+        return records.scan(session(), path, columns)
+
+
+for _f in (Parquet(), Feather(), Json(), Npz(), Hdf5(), Root(), Records()):
     register(_f)
 
 
