@@ -15,9 +15,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (SimHash over five-word shingles, 4 of 64 bits)."""
+    """One document of each group of near copies (five-word shingles: SimHashes within 4 of 64 bits, or a Jaccard of 0.8 or more)."""
     prepare(spark)
-    return simhash.keep_one(docs, words=5)
+    return simhash.keep_one(docs, words=5, similarity=0.8)
 
 
 def pii_removal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -34,6 +34,8 @@ SPLIT_AT = 2_000_000
 #: Variants that a task holds at once; a bucket is worked through in sub-buckets of about so many.
 VARIANTS_AT_ONCE = 1_000_000
 HASH_BITS = 24
+#: Min-hash bands and rows a band: sets of Jaccard 0.8 share no band once in 190,000 pairs, (1 - 0.8^6)^40.
+BANDS, BAND_ROWS = 40, 6
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -242,9 +244,144 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
-    """``docs`` with one document of each component: the one whose doc_id names it. Of rows that repeat this id, one stays."""
-    found = stored(near_duplicates(docs, radius=radius, words=words).select("doc_id", "component_id"), "classes")
+def shingle_set(text: str | None, words: int = SHINGLE) -> np.ndarray:
+    """The distinct shingle hashes of a text, sorted."""
+    return np.unique(shingle_hashes(text, words))
+
+
+_MIX = np.random.default_rng(20_240_502).integers(0, 1 << 64, (2, BANDS * BAND_ROWS), np.uint64) | np.array([[0], [1]], np.uint64)
+
+
+def band_keys(sets: list[np.ndarray]) -> np.ndarray:
+    """[set, band]: equal keys where two sets have the same least hashes in all rows of a band; sets aren't empty."""
+    flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets[:-1])])
+    keys = np.zeros((len(sets), BANDS), np.uint64)
+    for i, (x, m) in enumerate(_MIX.T):
+        least = np.minimum.reduceat((flat ^ x) * m, starts)
+        b = i // BAND_ROWS
+        keys[:, b] = ((keys[:, b] ^ least) + np.uint64(b + 1)) * np.uint64(0x9E3779B97F4A7C15)
+        keys[:, b] ^= keys[:, b] >> np.uint64(29)
+    return keys
+
+
+def similar_forest(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of exact Jaccard >= ``similarity`` that connect exactly what all such pairs connect.
+
+    Breadth first: a set is compared with those not reached yet, so that a group of near copies costs a few rounds.
+    """
+    size = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), size)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    open_, n_open, listed, out = np.ones(len(sets), bool), len(sets), len(sets), []
+    for root in range(len(sets)):
+        if not open_[root]:
+            continue
+        open_[root] = False
+        n_open -= 1
+        queue = [root]
+        while queue and n_open:
+            if 2 * n_open < listed:  # postings of what is left only
+                left = open_[owner]
+                flat, owner, listed = flat[left], owner[left], n_open
+            at = queue.pop()
+            lo, hi = np.searchsorted(flat, sets[at]), np.searchsorted(flat, sets[at], "right")
+            n = hi - lo
+            met = owner[np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            who, both = np.unique(met[open_[met]], return_counts=True)
+            near = who[both >= similarity * (size[at] + size[who] - both) - 1e-9]
+            open_[near] = False
+            n_open -= len(near)
+            out += [(at, int(x)) for x in near]
+            queue += near.tolist()
+    return out
+
+
+def _rows_of(docs: DataFrame) -> DataFrame:
+    """(id, t, h) per row: a text (null counts as empty) and its hash, which with the id tells rows apart."""
+    rows = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"))
+    return rows.withColumn("h", F.xxhash64("t"))
+
+
+def similar_links(docs: DataFrame, prints: DataFrame, joined: DataFrame, similarity: float, words: int) -> DataFrame:
+    """(a, b): links between fingerprints of texts whose shingle sets have Jaccard >= ``similarity``.
+
+    Texts that share a min-hash band are candidates; what they connect is compared by exact Jaccard, all texts of a connected
+    set in one task. Connected sets that ``joined`` (fp, root: what is linked already) holds together are left out.
+    """
+    n, bits = prints.count(), BUCKET_BITS
+    while n >> (bits - BUCKET_BITS) > SPLIT_AT and bits < HASH_BITS:
+        bits += 1
+    low = np.uint64((1 << bits) - 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows(sets: list[np.ndarray], fps: list[int]) -> pa.RecordBatch:
+            keys = band_keys(sets).ravel()
+            return pa.RecordBatch.from_arrays([pa.array((keys & low).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(np.repeat(np.array(fps, np.int64), BANDS))], names=["bucket", "key", "fp"])
+
+        for b in batches:
+            sets, fps, held = [], [], 0
+            for t in b.column(0):
+                hashes = shingle_hashes(t.as_py(), words)
+                if len(hashes):
+                    sets.append(np.unique(hashes))
+                    fps.append(int(majority([hashes]).view(np.int64)[0]))
+                    held += len(sets[-1])
+                if held > 200_000:
+                    yield rows(sets, fps)
+                    sets, fps, held = [], [], 0
+            if sets:
+                yield rows(sets, fps)
+
+    def meet(group: pa.Table) -> pa.Table:
+        key, fp = group["key"].to_numpy(), group["fp"].to_numpy()
+        order = np.argsort(key, kind="stable")
+        key, fp = key[order], fp[order]
+        new = np.concatenate(([True], key[1:] != key[:-1]))
+        head = fp[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+        far = head != fp
+        a, b = forest(head[far], fp[far]) if far.any() else (fp[:0], fp[:0])
+        return pa.table({"a": a, "b": b})
+
+    def compare(group: pa.Table) -> pa.Table:
+        texts = dict(zip(group["t"].to_pylist(), group["fp"].to_pylist(), strict=True))
+        found = similar_forest([shingle_set(t, words) for t in texts], similarity)
+        fps = list(texts.values())
+        return pa.table({"a": pa.array([fps[i] for i, _ in found], pa.int64()), "b": pa.array([fps[j] for _, j in found], pa.int64())})
+
+    shared = _rows_of(docs).select("t").mapInArrow(deal, "bucket int, key long, fp long")
+    candidates = components(shared.groupBy("bucket").applyInArrow(meet, "a long, b long"))
+    may = candidates.select(F.col("node").alias("fp"), F.col("root").alias("may"))
+    groups = joined.join(may, "fp", "left").select("fp", "root", F.coalesce("may", "fp").alias("may"))
+    mixed = groups.groupBy("may").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("may")
+    groups = groups.join(mixed, "may").select("fp", "may")
+    one = prints.groupBy("h", "fp").agg(F.min("id").alias("id"))  # a row of each text
+    wanted = one.join(groups, "fp").select(F.col("id").alias("of_id"), F.col("h").alias("of_h"), "fp", "may")
+    wanted = stored(wanted, "wanted")
+    rows = _rows_of(docs)
+    rows = rows.join(wanted.hint("shuffle_hash"), rows["id"].eqNullSafe(wanted["of_id"]) & (rows["h"] == wanted["of_h"])).select("may", "fp", "t")
+    return rows.groupBy("may").applyInArrow(compare, "a long, b long")
+
+
+def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+    """``docs`` with one document of each component: the one whose doc_id names it. Of rows that repeat this id, one stays.
+
+    With a ``similarity``, texts whose shingle sets reach that Jaccard are linked too, however far their fingerprints are.
+    """
+    if similarity is None:
+        found = near_duplicates(docs, radius=radius, words=words)
+    else:
+        rows = _rows_of(docs)
+        prints = stored(fingerprints(rows.select(F.struct("id", "h").alias("k"), "t"), "k", "t", words).select("id.id", "id.h", "fp"), "prints")
+        fps = stored(prints.select("fp").distinct(), "nodes")
+        near = components(links(fps, radius)).withColumnRenamed("node", "fp")
+        joined = stored(fps.join(near, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "joined")
+        both = joined.select(F.col("fp").alias("a"), F.col("root").alias("b")).union(similar_links(docs, prints, joined, similarity, words))
+        roots = components(both).withColumnRenamed("node", "fp")
+        rooted = stored(prints.join(roots, "fp", "left").select("id", F.coalesce("root", "fp").alias("root")), "rooted")
+        least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
+        found = rooted.join(least, "root").select(F.col("id").alias("doc_id"), "component_id")
+    found = stored(found.select("doc_id", "component_id"), "classes")
     keep = found.select(F.col("component_id").alias("keep_id")).distinct()
     # hinted, so that the plan is the same at every size
     out = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi")
