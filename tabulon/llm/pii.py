@@ -1,10 +1,10 @@
 """Personal data and what gives it away, in DataFrame functions only.
 
 Base spans are mail addresses, IP addresses, card and phone numbers. Information-theoretic sanitisation adds terms: the corpus
-tells how often a term stands near an entity, in how many documents either occurs, and so how many of the entity's bits the
-term reveals, PMI(term; entity) / IC(entity). Terms above a first threshold are generalised in documents that hold the
-entity, above a second one removed. Counts cover all documents; a pair counts only if distinct texts support it, so copies
-of one text prove nothing.
+tells in how many texts a term stands together with an entity, in how many either occurs, and so how many of the entity's
+bits the term reveals, PMI(term; entity) / IC(entity). Terms above a first threshold are generalised wherever they stand in
+documents that hold the entity, above a second one removed. Counts cover all distinct texts, so copies of one prove nothing;
+what few texts say is smoothed towards independence, not left out.
 """
 
 from __future__ import annotations
@@ -16,10 +16,8 @@ from ._base import load, shielded, stored
 
 #: Shares of an entity's information that a term may reveal before it is generalised, and before it is removed.
 GENERALISE, REMOVE = 0.6, 0.9
-#: Distinct texts in which a term must stand near an entity.
-SUPPORT = 3
-#: Code points on either side of an entity in which terms count as near.
-NEAR = 80
+#: Pseudo-texts with a term in which an entity is as frequent as everywhere.
+LEAN = 5.0
 
 #: The patterns, possessive and anchored at the start of a run where that changes no match, so that scans stay
 #: linear and no recursion grows with a text. \\G admits what begins where the last match ended.
@@ -38,7 +36,7 @@ VALID = {
 }
 ENTITY = {"email": "lower(value)", "ip": "value", "card": "regexp_replace(value, '[^0-9]', '')", "phone": "regexp_replace(value, '[^0-9]', '')"}
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
-WORD = r"(?<=[^\p{L}])\p{L}{4,}(?=[^\p{L}])"
+WORD = r"[\p{L}\p{M}\p{N}]++"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -64,48 +62,62 @@ def base_spans(text: str, kind: str) -> Column:
     return F.expr(f"filter({_positions(text, PATTERNS[kind])}, v -> {VALID[kind]})")
 
 
+_ENTITIES = "array_distinct(concat(" + ", ".join(f"transform({k}, v -> concat('{k}:', {ENTITY[k].replace('value', 'v.value')}))" for k in PATTERNS) + "))"
+_BASE = "concat(" + ", ".join(f"transform({k}, v -> named_struct('start', v.start, 'end', v.end))" for k in PATTERNS) + ")"
+
+
 def found_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, email, ip, card, phone, near) per row of ``docs``; near: (entity, term, start, end) of terms about entities."""
+    """(id, h, email, ip, card, phone, t, words) per row of ``docs``; t: the text if it holds an entity; words: distinct terms."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
     rows = rows.select("id", "t", F.xxhash64("t").alias("h"), *(base_spans("t", k).alias(k) for k in PATTERNS))
-    left = f"case when e.start > {NEAR} then substring(t, e.start - {NEAR} + 1, {NEAR}) else concat(' ', substring(t, 1, e.start)) end"
-    right = f"rpad(concat(substring(t, e.end + 1, {NEAR})), least({NEAR}, char_length(t) - e.end) + cast(char_length(t) - e.end < {NEAR} as int), ' ')"
-    entities = ", ".join(f"transform({k}, v -> named_struct('entity', concat('{k}:', {ENTITY[k].replace('value', 'v.value')}), 'start', v.start, 'end', v.end))" for k in PATTERNS)
-    sides = f"flatten(transform(concat({entities}), e -> array(named_struct('entity', e.entity, 'at', greatest(e.start - {NEAR}, -1), 's', {left}), named_struct('entity', e.entity, 'at', e.end, 's', {right}))))"
-    terms = _positions("c.s", WORD)
-    near = f"flatten(transform({sides}, c -> transform({terms}, w -> named_struct('entity', c.entity, 'term', lower(w.value), 'start', c.at + w.start, 'end', c.at + w.end))))"
-    return rows.select("id", "h", *PATTERNS, F.expr(f"case when size(email) + size(ip) + size(card) + size(phone) > 0 then {near} end").alias("near"))
-
-
-def disclosing(docs: DataFrame, found: DataFrame, text_col: str, support: int = SUPPORT, generalise: float = GENERALISE) -> DataFrame:
-    """(entity, term, share): terms that reveal at least ``generalise`` of an entity's information."""
-    n = F.lit(float(max(1, found.count())))
-    near = found.where(F.size("near") > 0).select("id", "h", F.explode(F.array_distinct(F.transform("near", lambda x: F.struct(x["entity"], x["term"])))).alias("x")).select("id", "h", "x.entity", "x.term")
-    pairs = near.groupBy("entity", "term", "h").agg(F.count(F.lit(1)).alias("c")).groupBy("entity", "term").agg(F.sum("c").alias("n_both"), F.count(F.lit(1)).alias("texts")).where(F.col("texts") >= support)
-    pairs = stored(pairs, "pairs")
-    has = found.where(F.size("near").isNotNull()).select(F.explode(F.array_distinct(F.expr("concat(" + ", ".join(f"transform({k}, v -> concat('{k}:', {ENTITY[k].replace('value', 'v.value')}))" for k in PATTERNS) + ")"))).alias("entity"))
-    n_entity = has.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    words = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(F.col(text_col).cast("string")), F.lit(r"\p{L}{4,}"), F.lit(0)))).alias("term"))
-    n_term = words.groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    out = pairs.join(n_entity, "entity").join(n_term, "term")
-    pmi, ic = F.log2(F.col("n_both") * n / (F.col("n_term") * F.col("n_entity"))), F.log2(n / F.col("n_entity"))
-    return out.withColumn("share", F.when(ic > 0, pmi / ic).otherwise(0.0)).where(F.col("share") >= generalise).select("entity", "term", "share")
+    held = F.expr("case when size(email) + size(ip) + size(card) + size(phone) > 0 then t end").alias("t")
+    return rows.select("id", "h", *PATTERNS, held, F.expr(f"array_distinct(transform(regexp_extract_all(t, r'{WORD}', 0), w -> lower(w)))").alias("words"))
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def disclosing(texts: DataFrame, lean: float = LEAN, generalise: float = GENERALISE) -> DataFrame:
+    """(h, term, share): terms that reveal at least ``generalise`` of the information of an entity in the text; ``texts``: distinct.
+
+    Entities of one text all give its terms the same share, so one of them stands for all.
+    """
+    n = F.lit(float(max(1, texts.count())))
+    has = texts.where("t is not null").select("h", F.explode(F.expr(_ENTITIES)).alias("entity"))
+    n_entity = has.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
+    has = has.join(n_entity, "entity")
+    has = stored(has.groupBy("h", F.when(F.col("n_entity") > 1, F.col("entity")).alias("entity")).agg(F.first("n_entity").alias("n_entity")), "holders")
+    words = stored(texts.where("t is not null").select("h", F.explode("words").alias("term")), "words")
+    n_term = texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    n_term = stored(n_term.join(words.select("term").distinct(), "term", "left_semi"), "terms")
+
+    def share(n_both: Column) -> Column:
+        # log2(P(entity | term) / P(entity)) of P(entity) bits, with lean pseudo-texts at P(entity)
+        rate = F.col("n_entity") / n
+        ic = -F.log2(rate)
+        return F.when(ic > 0, F.log2((n_both + lean * rate) / (F.col("n_term") + lean) / rate) / ic).otherwise(0.0).alias("share")
+
+    single = has.where("entity is null").select("h", "n_entity").join(words, "h").join(n_term, "term").select("h", "term", share(F.lit(1)))
+    several = has.where("entity is not null").join(words, "h")
+    pairs = several.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_entity").alias("n_entity"))
+    pairs = stored(pairs.join(n_term, "term").select("entity", "term", share(F.col("n_both"))).where(F.col("share") >= generalise), "pairs")
+    of_pairs = several.select("h", "entity", "term").join(pairs, ["entity", "term"]).select("h", "term", "share")
+    return single.where(F.col("share") >= generalise).union(of_pairs).groupBy("h", "term").agg(F.max("share").alias("share"))
+
+
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lean: float = LEAN, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """(id_col, h, email, ip, card, phone, terms) per row of ``docs``; h: xxhash64 of the text; terms: (start, end, value) with value generalise or remove.
 
     Null counts as empty text. Rows that repeat an id and a text have the same spans; rows are never merged. An empty table
-    gives no rows. Only documents that hold an entity can have terms: clean ones stay as they are.
+    gives no rows. Only documents that hold an entity can have terms: clean ones stay as they are. Terms inside a base span
+    go with it and aren't listed.
     """
     found = stored(found_entities(docs, id_col, text_col), "entities")
-    reveals = stored(disclosing(docs, found, text_col, support, generalise), "disclosing")
-    near = found.where(F.size("near") > 0).select("id", "h", F.explode(F.array_distinct("near")).alias("x")).select("id", "h", "x.*").distinct()
-    hit = near.join(reveals, ["entity", "term"]).groupBy("id", "h", "start", "end").agg(F.max("share").alias("share"))
+    texts = stored(found.select("h", *PATTERNS, "t", "words").dropDuplicates(["h"]), "texts")
+    reveals = stored(disclosing(texts, lean, generalise), "disclosing")
+    at = texts.where("t is not null").select("h", F.expr(f"inline({_positions('t', WORD)})")).select("h", F.lower("value").alias("term"), "start", "end")
     kind = F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("value")
-    by_text = hit.groupBy("id", "h").agg(F.sort_array(F.collect_list(F.struct("start", "end", kind))).alias("terms")).withColumnsRenamed({"id": "of_id", "h": "of_h"})
-    out = found.join(by_text, F.col("id").eqNullSafe(F.col("of_id")) & (F.col("h") == F.col("of_h")), "left")
-    return out.select(F.col("id").alias(id_col), "h", *PATTERNS, F.coalesce("terms", F.expr(f"cast(array() as {_SPAN})")).alias("terms"))
+    by_text = at.join(reveals, ["h", "term"]).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("start", "end", kind))).alias("terms")).withColumnRenamed("h", "of_h")
+    out = found.drop("t", "words").join(stored(by_text, "terms"), F.col("h") == F.col("of_h"), "left")
+    outside = F.expr(f"filter(terms, w -> not exists({_BASE}, b -> b.start < w.end and w.start < b.end))")
+    return out.select(F.col("id").alias(id_col), "h", *PATTERNS, F.coalesce(outside, F.expr(f"cast(array() as {_SPAN})")).alias("terms"))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
