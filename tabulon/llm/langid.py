@@ -28,6 +28,9 @@ EVIDENCE = 300
 LEAN = 8.0
 #: Posterior below which a row is rejected.
 CONFIDENCE = 0.5
+#: A text is of no known language if its mean log-likelihood an n-gram lies below that of all but so few held-out labelled
+#: texts, less a margin and a term for what a short text's mean varies by (over the root of its n-grams).
+OUTLIERS, MARGIN, SHORT = 0.001, 0.5, 6.0
 AT_ONCE = 300_000
 _SALT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 
@@ -36,6 +39,7 @@ _SALT = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)
 class TextModel:
     languages: list[str]
     table: np.ndarray  # [slot, language], log probabilities
+    floor: float = float("-inf")  # of the mean log-likelihood an n-gram
 
 
 def grams(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,12 +80,32 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sa
     top = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     got = rows.where(F.col("h") <= top).dropDuplicates(["h"]).orderBy("h").collect() if top is not None else []
     languages = sorted({r.l for r in got})
-    table = np.full((SLOTS, max(1, len(languages))), 0.05)
+    counts = [_counted(got[half::2], languages) for half in (0, 1)]
+    model = _model(languages, counts[0] + counts[1])
+    held = []
+    for half in (0, 1):  # each half under a model of the other
+        other = _model(languages, counts[1 - half])
+        for at in range(half, len(got), 400):
+            ll, n = score([r.t for r in got[at : at + 400 : 2]], other)
+            held += (ll.max(1) * (1 / EVIDENCE + 1 / np.maximum(n, 1)))[n > 0].tolist()
+    if held:
+        model.floor = float(np.quantile(held, OUTLIERS)) - MARGIN
+    return model
+
+
+def _counted(rows: list, languages: list[str]) -> np.ndarray:
+    """Counts [slot, language] of n-grams of rows (t, l)."""
+    table = np.zeros((SLOTS, max(1, len(languages))))
     for i, language in enumerate(languages):
-        for at in range(0, len(got), 200):
-            texts = [r.t.lower() for r in got[at : at + 200] if r.l == language]
+        for at in range(0, len(rows), 200):
+            texts = [r.t.lower() for r in rows[at : at + 200] if r.l == language]
             if texts:
                 table[:, i] += np.bincount(grams(texts)[0], minlength=SLOTS)
+    return table
+
+
+def _model(languages: list[str], counts: np.ndarray) -> TextModel:
+    table = counts + 0.05
     return TextModel(languages, np.log(table / table.sum(0)).astype(np.float32))
 
 
@@ -125,8 +149,9 @@ def fuse(evidence: DataFrame, model: TextModel, levels: list[str], declared: lis
     """``evidence`` plus language, posterior and rejected.
 
     ``levels``: columns from the widest to the narrowest place (suffix, domain, host); ``declared``: columns of what a row
-    says of itself. A null place is a place of its own; a null declaration says nothing. A row without letters, or with a
-    posterior below ``confidence``, is rejected and has no language.
+    says of itself. A null place is a place of its own; a null declaration says nothing. A row without letters, with a
+    posterior below ``confidence``, or with n-grams as unlikely in every language as no labelled text's, is rejected and has
+    no language.
     """
     k = range(max(1, len(model.languages)))
     p = _softmax(F.col("ll"))
@@ -165,7 +190,9 @@ def fuse(evidence: DataFrame, model: TextModel, levels: list[str], declared: lis
     out = out.withColumn("posterior_all", _softmax(F.array(*score)))
     best = F.array_position("posterior_all", F.array_max("posterior_all")).cast("int")
     names = F.array(*[F.lit(x) for x in model.languages or [None]]).cast("array<string>")
-    out = out.withColumn("posterior", F.array_max("posterior_all")).withColumn("rejected", (F.col("n_grams") == 0) | (F.col("posterior") < confidence) | F.lit(not model.languages))
+    typical = F.array_max("ll") * (1 / EVIDENCE + 1 / F.greatest(F.col("n_grams"), F.lit(1)))
+    foreign = typical < F.lit(model.floor) - SHORT / F.sqrt(F.greatest(F.col("n_grams"), F.lit(1)))
+    out = out.withColumn("posterior", F.array_max("posterior_all")).withColumn("rejected", (F.col("n_grams") == 0) | (F.col("posterior") < confidence) | foreign | F.lit(not model.languages))
     return out.withColumn("language", F.when(~F.col("rejected"), F.element_at(names, best))).drop("posterior_all", "p", "place", *places, *(f"by_{d}" for d in declared))
 
 
