@@ -7,6 +7,8 @@ document's, and each of its lines as a text of its own, so that a notice appende
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,6 +54,9 @@ KNOWN = [
     ("BSD-3-Clause", "SPDX-License-Identifier: BSD-3-Clause"), ("MPL-2.0", "SPDX-License-Identifier: MPL-2.0"),
 ]
 
+#: Longer licences in full, a file each, named by identifier.
+KNOWN += [(f.stem, f.read_text("utf-8")) for f in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+
 _NOTICE_LINES = r"(^|\n)[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*"
 _PUNCTUATION = r"[^\p{L}\p{N}]+"
 
