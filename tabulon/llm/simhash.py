@@ -364,29 +364,29 @@ def similar_links(docs: DataFrame, prints: DataFrame, joined: DataFrame, similar
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE, similarity: float | None = None) -> DataFrame:
-    """``docs`` with one document of each component: the one whose doc_id names it. Of rows that repeat this id, one stays.
+    """``docs`` with one document of each component: the least by id (null last) and text hash. Of rows that repeat both, one stays.
 
     With a ``similarity``, texts whose shingle sets reach that Jaccard are linked too, however far their fingerprints are.
     """
-    if similarity is None:
-        found = near_duplicates(docs, radius=radius, words=words)
-    else:
-        rows = _rows_of(docs)
-        prints = stored(fingerprints(rows.select(F.struct("id", "h").alias("k"), "t"), "k", "t", words).select("id.id", "id.h", "fp"), "prints")
-        fps = stored(prints.select("fp").distinct(), "nodes")
-        near = components(links(fps, radius)).withColumnRenamed("node", "fp")
-        joined = stored(fps.join(near, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "joined")
+    rows = _rows_of(docs)
+    prints = stored(fingerprints(rows.select(F.struct("id", "h").alias("k"), "t"), "k", "t", words).select("id.id", "id.h", "fp"), "prints")
+    fps = stored(prints.select("fp").distinct(), "nodes")
+    near = components(links(fps, radius)).withColumnRenamed("node", "fp")
+    joined = stored(fps.join(near, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "joined")
+    roots = joined
+    if similarity is not None:
         both = joined.select(F.col("fp").alias("a"), F.col("root").alias("b")).union(similar_links(docs, prints, joined, similarity, words))
         roots = components(both).withColumnRenamed("node", "fp")
-        rooted = stored(prints.join(roots, "fp", "left").select("id", F.coalesce("root", "fp").alias("root")), "rooted")
-        least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-        found = rooted.join(least, "root").select(F.col("id").alias("doc_id"), "component_id")
-    found = stored(found.select("doc_id", "component_id"), "classes")
-    keep = found.select(F.col("component_id").alias("keep_id")).distinct()
+    rooted = stored(prints.join(roots, "fp", "left").select("id", "h", F.coalesce("root", "fp").alias("root")), "rooted")
+    keep = stored(rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("k")).select(F.col("k.id").alias("keep_id"), F.col("k.h").alias("keep_h")), "keep")
+    here = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     # hinted, so that the plan is the same at every size
-    out = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["keep_id"]), "left_semi")
-    repeated = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").count().where("count > 1").limit(1)
-    return out.dropDuplicates(["doc_id"]) if repeated.count() else out
+    out = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["keep_id"]) & (here == keep["keep_h"]), "left_semi")
+    repeated = rooted.groupBy("id", "h").count().where("count > 1").limit(1)
+    if not repeated.count():
+        return out
+    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return out.withColumn("__text", text).dropDuplicates(["doc_id", "__text"]).drop("__text")
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
