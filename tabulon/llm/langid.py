@@ -13,13 +13,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._base import load, stored
 
 #: Labelled rows that the text model is fitted on, at most: those of the smallest hashes. Everything else covers all rows.
 SAMPLE = 2000
+#: A language with fewer rows than so many among these gets those of its smallest hashes up to this number besides.
+PER_LABEL = 100
 #: Slots of the hashed n-gram tables: the model is languages x SLOTS floats, whatever the data.
 SLOTS = 1 << 15
 #: n-grams are not independent: a text's evidence grows to that of so many, whatever its length.
@@ -79,6 +81,14 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "lang", sa
     # hashes first: texts come to the driver only for those that are taken, and once for rows that repeat
     top = rows.select("h").distinct().orderBy("h").limit(sample).agg(F.max("h")).first()[0]
     got = rows.where(F.col("h") <= top).dropDuplicates(["h"]).orderBy("h").collect() if top is not None else []
+    seen = {r.l for r in got}
+    seen = [x for x in seen if sum(r.l == x for r in got) >= PER_LABEL]
+    few = rows.where(~F.col("l").isin(seen)) if seen else rows
+    order = F.row_number().over(Window.partitionBy("l").orderBy("h"))
+    more = few.select("h", "l").distinct().withColumn("k", order).where(F.col("k") <= PER_LABEL).select("h") if top is not None else None
+    more = {r.h for r in more.collect()} - {r.h for r in got} if more is not None else set()
+    if more:
+        got = sorted(got + few.where(F.col("h").isin(list(more))).dropDuplicates(["h"]).collect(), key=lambda r: r.h)
     languages = sorted({r.l for r in got})
     counts = [_counted(got[half::2], languages) for half in (0, 1)]
     model = _model(languages, counts[0] + counts[1])
