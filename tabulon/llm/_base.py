@@ -1,17 +1,21 @@
-"""What the operators of this subpackage share: table access and materialisation in the folder that the cluster shares."""
+"""What the operators of this subpackage share: table access, materialisation in the folder that the cluster shares, lookups of hot keys."""
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 #: Rows of one Arrow batch handed to Python: bounds a worker's memory when documents are long.
 ARROW_ROWS = 2000
+#: A key is hot if more than HOT_LEAST rows and more than one in HOT_KEYS of all rows have it; so at most HOT_KEYS keys are hot.
+HOT_LEAST, HOT_KEYS = 256, 100_000
+#: Ways into which the rows of a hot key are dealt.
+SALTS = 1024
 
 _fallback: dict[str, str] = {}
 
@@ -20,7 +24,7 @@ def ship(spark: SparkSession) -> None:
     """Let Python workers import this package even where it is on the driver's path only."""
     root = Path(__file__).resolve().parents[2]
     sc = spark.sparkContext
-    if str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep) or getattr(sc, "_tabulon_shipped", False):
+    if getattr(sc, "_tabulon_shipped", False):
         return
     archive = Path(tempfile.mkdtemp(prefix="tabulon-")) / "tabulon_llm.zip"
     with zipfile.ZipFile(archive, "w") as z:
@@ -31,9 +35,14 @@ def ship(spark: SparkSession) -> None:
 
 
 def prepare(spark: SparkSession) -> None:
-    """What the operators ask of a session: importable code in Python workers, and Arrow batches of bounded size."""
+    """What the operators ask of a session: importable code in Python workers, and Arrow batches of at most ARROW_ROWS rows.
+
+    The session keeps this limit: Spark reads it when a plan runs, which is after an operator has returned.
+    """
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= ARROW_ROWS:
+        spark.conf.set(name, str(ARROW_ROWS))
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -43,9 +52,11 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; only where it is unset (tests) a folder of our own."""
+    """``spark.checkpoint.dir`` of the session; where it is unset a folder of our own, on a single machine only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = _fallback.setdefault("dir", tempfile.mkdtemp(prefix="tabulon-"))
     return path.rstrip("/")
 
@@ -62,3 +73,37 @@ def shielded(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:
     """``df`` under names of our own, so that no column of the caller's clashes with one of an operator's; and the name of each."""
     names = [f"__c{i}" for i in range(len(df.columns))]
     return df.toDF(*names), dict(zip(df.columns, names, strict=True))
+
+
+def lookup(rows: DataFrame, values: DataFrame, keys: list[str], n: int, times: str, spread: Column) -> DataFrame:
+    """``rows`` with the other columns of ``values`` by equal ``keys`` (nulls where there are none).
+
+    ``values`` has one row a key, and in ``times`` how many of the ``n`` rows have the key; ``spread``: what tells rows of one
+    key apart. The values of hot keys are broadcast; their rows need no match after that and are dealt by a salt, so that no
+    task of the join has more than a share of them. A null key has no values.
+    """
+    bound = max(HOT_LEAST, n // HOT_KEYS)
+    others = [c for c in values.columns if c not in (*keys, times)]
+    named = values.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.struct(*others).alias("__v"), F.col(times).alias("__times"))
+    hot = named.where(F.col("__times") > bound).withColumnRenamed("__v", "__hot").drop("__times")
+    cold = named.where(F.col("__times") <= bound).drop("__times").withColumn("__s", F.lit(0))
+    same = lambda a, b: [a[k] == b[f"__k{i}"] for i, k in enumerate(keys)]
+    out = rows.join(F.broadcast(hot), same(rows, hot), "left").drop(*(f"__k{i}" for i in range(len(keys))))
+    out = out.withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int") + 1).otherwise(0))
+    out = out.join(cold, [*same(out, cold), F.col("__salt") == F.col("__s")], "left")
+    got = F.coalesce("__hot", "__v")
+    return out.select(*(F.col(f"`{c}`") for c in rows.columns), *(got.getField(c).alias(c) for c in others))
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """``df`` with its dense place, from 0, in the order of ``order`` (which tells rows apart): dealt by range, numbered in parts.
+
+    Only the sizes of the parts, as many as there are shuffle partitions at most, are summed up in one task.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = stored(df.repartitionByRange(parts, *order).withColumn("__part", F.spark_partition_id()), "dealt")
+    sizes = dealt.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    out = dealt.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(*order)))
+    out = out.join(F.broadcast(sizes.select("__part", before.alias("__before"))), "__part")
+    return out.select(*(F.col(f"`{c}`") for c in df.columns), (F.col("__before") + F.col("__in") - 1).cast("long").alias(name))

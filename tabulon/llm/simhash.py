@@ -6,6 +6,8 @@ ball of radius r/2 (2081 variants for r = 4), fingerprints are shuffled on varia
 The shuffle does not carry the variants themselves. A GF(2)-linear hash H splits the variant space into buckets; since
 H(x ^ m) = H(x) ^ H(m), a receiver of (bucket, x) lists exactly x's variants in that bucket from a table of flip masks
 sorted by H(m), so each variant is made once, in the task that needs it, and a row on the wire stands for dozens of them.
+H's bits are parities of classes of bit positions: flipping at most two bits changes at most two parities, so a ball of
+radius 2 meets 1 + c + c(c-1)/2 of 2^c buckets only (22 of 64, 137 of 65,536).
 Within a bucket a variant shared by several fingerprints yields a star instead of all pairs (all sharers are within r of
 each other by the triangle inequality; each link is verified by popcount), and stars are reduced to a spanning forest, so
 a bucket never emits more links than it has fingerprints.
@@ -22,13 +24,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import load, stored
+from ._base import load, lookup, shielded, stored
 
 BITS = 64
 RADIUS = 4
 SHINGLE = 4
 SEED = 42
-#: Buckets of the variant space while there are at most SPLIT_AT distinct fingerprints; doubled with every doubling beyond.
+#: Bits that name a bucket, at least; as many as it takes for a bucket to get at most SPLIT_AT rows.
 BUCKET_BITS = 6
 SPLIT_AT = 2_000_000
 #: Variants that a task holds at once; a bucket is worked through in sub-buckets of about so many.
@@ -36,6 +38,8 @@ VARIANTS_AT_ONCE = 1_000_000
 HASH_BITS = 24
 #: Min-hash bands and rows a band: sets of Jaccard 0.8 share no band once in 190,000 pairs, (1 - 0.8^6)^40.
 BANDS, BAND_ROWS = 40, 6
+#: Texts and characters of a block: of candidates that hang together, two blocks at a time are compared in one task.
+BLOCK_TEXTS, BLOCK_CHARS = 4_000, 16_000_000
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -97,8 +101,11 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def _linear_hash() -> np.ndarray:
-    """Eight tables of 256 whose XOR over a word's bytes is a fixed random linear map to HASH_BITS bits."""
-    column = np.random.default_rng(20_240_501).integers(1, 1 << HASH_BITS, BITS, np.int64)
+    """Eight tables of 256 whose XOR over a word's bytes is the hash: parities of six classes of bits, then of parts of these.
+
+    The first b output bits tell max(b, 6) classes of input bits apart, which keeps the ball's buckets few at every b.
+    """
+    column = [1 << i % 6 | (0, 1 << 6 + i % 6, 1 << 12 + i % 6, 1 << 18 + i % 6)[i // 6 % 4] for i in range(BITS)]
     return np.array([[np.bitwise_xor.reduce([0, *(column[8 * i + j] for j in range(8) if b >> j & 1)]) for b in range(256)] for i in range(8)], np.int64)
 
 
@@ -142,8 +149,8 @@ def bucket_links(fps: np.ndarray, bucket: int, bits: int, radius: int = RADIUS,
     """Links among distinct ``fps`` that meet in a variant v with the low ``bits`` bits of H(v) equal to ``bucket``."""
     masks = flip_masks(radius // 2)
     mask_hash, fp_hash = linear_hash(masks), linear_hash(fps)
-    more = 0
-    while len(fps) * len(masks) >> (bits + more) > at_once and bits + more < HASH_BITS:
+    more, variants = 0, len(fps) * len(masks) // len(np.unique(mask_hash & (1 << bits) - 1))
+    while variants >> more > at_once and bits + more < HASH_BITS:
         more += 1
     low = (1 << (bits + more)) - 1
     by_class: dict[int, list[int]] = {}
@@ -184,11 +191,18 @@ def bucket_links(fps: np.ndarray, bucket: int, bits: int, radius: int = RADIUS,
     return forest(np.concatenate(found_a), np.concatenate(found_b)) if len(found_a) > 1 else (found_a[0], found_b[0])
 
 
+def bucket_bits(n: int, radius: int = RADIUS) -> int:
+    """Bits of a bucket's name so that a bucket of ``n`` fingerprints' balls has SPLIT_AT rows on average, at most."""
+    hashes = linear_hash(flip_masks(radius // 2))
+    bits = BUCKET_BITS
+    while n * len(np.unique(hashes & (1 << bits) - 1)) >> bits > SPLIT_AT and bits < HASH_BITS:
+        bits += 1
+    return bits
+
+
 def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b): links that connect exactly what pairs at distance <= ``radius`` connect; ``fps``: distinct fp long."""
-    n, bits = fps.count(), BUCKET_BITS
-    while n >> (bits - BUCKET_BITS) > SPLIT_AT and bits < HASH_BITS:
-        bits += 1
+    bits = bucket_bits(fps.count(), radius)
     low = (1 << bits) - 1
     syndromes = np.unique(linear_hash(flip_masks(radius // 2)) & low)
 
@@ -209,14 +223,14 @@ def links(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): alternating large-star and small-star rounds until nothing changes; nodes without edges have no row."""
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both if large else both.where("v < u")
-        least = near.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("at"), F.least("u", "m").alias("m"))
-        moved = near.join(least, near["u"] == least["at"])
+        least = near.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("times"))
+        moved = lookup(near, least, ["u"], n, "times", F.col("v"))  # a hub's links are dealt
         if large:
             return moved.where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        return moved.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(F.col("at").alias("u"), F.col("m").alias("v"))).distinct()
+        return moved.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
 
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     seen = None
@@ -225,7 +239,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
-        now = stored(star(star(now, True), False), "edges")
+        now = stored(star(star(now, True, 2 * state[0]), False, 2 * state[0]), "edges")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
@@ -235,12 +249,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     a null id never is the smallest (a component of null ids only has a null component_id); an empty table gives no rows.
     """
     prints = stored(fingerprints(docs, id_col, text_col, words), "prints")
-    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least")), "nodes")
+    nodes = stored(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("times")), "nodes")
     roots = components(links(nodes.select("fp"), radius))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    by_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.select(F.col("fp").alias("k"), "root").join(by_root, "root").select("k", "component_id")
-    out = prints.join(classes, prints["fp"] == classes["k"])
+    rooted = stored(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "times", F.coalesce("root", "fp").alias("root")), "rooted")
+    by_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps"))
+    n = prints.count()
+    classes = stored(lookup(rooted.select("fp", "times", "root"), by_root, ["root"], n, "fps", F.col("fp")).drop("root"), "classes")
+    out = lookup(prints, classes, ["fp"], n, "times", F.col("id"))  # one text may hold a third of all rows
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
@@ -303,11 +318,12 @@ def _rows_of(docs: DataFrame) -> DataFrame:
     return rows.withColumn("h", F.xxhash64("t"))
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, joined: DataFrame, similarity: float, words: int) -> DataFrame:
+def similar_links(docs: DataFrame, prints: DataFrame, joined: DataFrame, similarity: float, words: int, block_texts: int = BLOCK_TEXTS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(a, b): links between fingerprints of texts whose shingle sets have Jaccard >= ``similarity``.
 
-    Texts that share a min-hash band are candidates; what they connect is compared by exact Jaccard, all texts of a connected
-    set in one task. Connected sets that ``joined`` (fp, root: what is linked already) holds together are left out.
+    Texts that share a min-hash band are candidates; what they connect is compared by exact Jaccard: sets of a block in one
+    task, larger ones by pairs of blocks, so that a task holds two blocks however large a set is. Connected sets that
+    ``joined`` (fp, root: what is linked already) holds together are left out.
     """
     n, bits = prints.count(), BUCKET_BITS
     while n >> (bits - BUCKET_BITS) > SPLIT_AT and bits < HASH_BITS:
@@ -353,40 +369,48 @@ def similar_links(docs: DataFrame, prints: DataFrame, joined: DataFrame, similar
     candidates = components(shared.groupBy("bucket").applyInArrow(meet, "a long, b long"))
     may = candidates.select(F.col("node").alias("fp"), F.col("root").alias("may"))
     groups = joined.join(may, "fp", "left").select("fp", "root", F.coalesce("may", "fp").alias("may"))
-    mixed = groups.groupBy("may").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("may")
-    groups = groups.join(mixed, "may").select("fp", "may")
-    one = prints.groupBy("h", "fp").agg(F.min("id").alias("id"))  # a row of each text
-    wanted = one.join(groups, "fp").select(F.col("id").alias("of_id"), F.col("h").alias("of_h"), "fp", "may")
-    wanted = stored(wanted, "wanted")
+    texts = prints.groupBy("h", "fp").agg(F.min("id").alias("of_id"), F.first("chars").alias("chars")).withColumnRenamed("h", "of_h")  # a row of each text
+    texts = stored(texts.join(groups, "fp"), "grouped")
+    sets = texts.groupBy("may").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("times"), F.sum("chars").alias("chars")).where("x != y")
+    sets = stored(sets.select("may", "times", F.greatest(F.ceil(F.col("times") / block_texts), F.ceil(F.col("chars") / block_chars)).cast("int").alias("blocks")), "sets")
+    wanted = lookup(texts.select("of_id", "of_h", "fp", "may"), sets, ["may"], n, "times", F.col("of_h")).where("blocks is not null")
+    wanted = stored(wanted.withColumn("block", F.pmod(F.xxhash64("of_h"), F.col("blocks")).cast("int")), "wanted")
     rows = _rows_of(docs)
-    rows = rows.join(wanted.hint("shuffle_hash"), rows["id"].eqNullSafe(wanted["of_id"]) & (rows["h"] == wanted["of_h"])).select("may", "fp", "t")
-    return rows.groupBy("may").applyInArrow(compare, "a long, b long")
+    rows = rows.join(wanted.hint("shuffle_hash"), rows["id"].eqNullSafe(wanted["of_id"]) & (rows["h"] == wanted["of_h"]))
+    pair = F.when(F.col("blocks") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("blocks") - 1), F.col("block")))
+    rows = rows.select("may", "fp", "t", "block", F.explode(pair).alias("other"))
+    rows = rows.select("may", "fp", "t", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return rows.groupBy("may", "low", "high").applyInArrow(compare, "a long, b long")
 
 
-def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE, similarity: float | None = None) -> DataFrame:
+def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE, similarity: float | None = None, **blocks: int) -> DataFrame:
     """``docs`` with one document of each component: the least by id (null last) and text hash. Of rows that repeat both, one stays.
 
     With a ``similarity``, texts whose shingle sets reach that Jaccard are linked too, however far their fingerprints are.
+    A null text counts as empty; an empty table stays empty; columns are those of ``docs``, whatever they are called.
     """
+    whole, (docs, name) = docs, shielded(docs)
+    docs = docs.withColumnsRenamed({name["doc_id"]: "doc_id", name["text"]: "text"})
     rows = _rows_of(docs)
-    prints = stored(fingerprints(rows.select(F.struct("id", "h").alias("k"), "t"), "k", "t", words).select("id.id", "id.h", "fp"), "prints")
-    fps = stored(prints.select("fp").distinct(), "nodes")
-    near = components(links(fps, radius)).withColumnRenamed("node", "fp")
-    joined = stored(fps.join(near, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root")), "joined")
+    key = F.struct("id", "h", F.char_length("t").alias("chars"))
+    prints = stored(fingerprints(rows.select(key.alias("k"), "t"), "k", "t", words).select("id.id", "id.h", "id.chars", "fp"), "prints")
+    fps = stored(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("times")), "nodes")
+    near = components(links(fps.select("fp"), radius)).withColumnRenamed("node", "fp")
+    joined = stored(fps.join(near, "fp", "left").select("fp", "times", F.coalesce("root", "fp").alias("root")), "joined")
     roots = joined
     if similarity is not None:
-        both = joined.select(F.col("fp").alias("a"), F.col("root").alias("b")).union(similar_links(docs, prints, joined, similarity, words))
-        roots = components(both).withColumnRenamed("node", "fp")
-    rooted = stored(prints.join(roots, "fp", "left").select("id", "h", F.coalesce("root", "fp").alias("root")), "rooted")
+        both = joined.select(F.col("fp").alias("a"), F.col("root").alias("b")).union(similar_links(docs, prints, joined.drop("times"), similarity, words, **blocks))
+        linked = components(both).withColumnRenamed("node", "fp")
+        roots = stored(joined.drop("root").join(linked, "fp", "left").select("fp", "times", F.coalesce("root", "fp").alias("root")), "roots")
+    rooted = stored(lookup(prints.select("id", "h", "fp"), roots, ["fp"], prints.count(), "times", F.col("h")).select("id", "h", "root"), "rooted")
     keep = stored(rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("k")).select(F.col("k.id").alias("keep_id"), F.col("k.h").alias("keep_h")), "keep")
     here = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))
     # hinted, so that the plan is the same at every size
     out = docs.join(keep.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(keep["keep_id"]) & (here == keep["keep_h"]), "left_semi")
     repeated = rooted.groupBy("id", "h").count().where("count > 1").limit(1)
-    if not repeated.count():
-        return out
-    text = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))
-    return out.withColumn("__text", text).dropDuplicates(["doc_id", "__text"]).drop("__text")
+    if repeated.count():
+        out = out.withColumn("hash", F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).dropDuplicates(["doc_id", "hash"])
+    return out.select(*docs.columns).toDF(*whole.columns)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
