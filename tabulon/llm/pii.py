@@ -12,12 +12,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import load, shielded, stored
+from ._base import load, lookup, shielded, stored
 
 #: Shares of an entity's information that a term may reveal before it is generalised, and before it is removed.
 GENERALISE, REMOVE = 0.6, 0.9
 #: Pseudo-texts with a term in which an entity is as frequent as everywhere.
 LEAN = 5.0
+#: Terms that stand near an entity are broadcast to the count of all words up to so many (some 60 bytes each).
+BROADCAST_TERMS = 500_000
 
 #: The patterns, possessive and anchored at the start of a run where that changes no match, so that scans stay
 #: linear and no recursion grows with a text. \\G admits what begins where the last match ended.
@@ -35,12 +37,16 @@ VALID = {
     "phone": "length(regexp_replace(v.value, '[^0-9]', '')) between 8 and 15",
 }
 ENTITY = {"email": "lower(value)", "ip": "value", "card": "regexp_replace(value, '[^0-9]', '')", "phone": "regexp_replace(value, '[^0-9]', '')"}
+#: What a valid match of a kind needs, told faster than by its pattern.
+HINTS = {"email": "instr({0}, '@') > 0", "ip": "{0} rlike '[0-9][.][0-9]'", "card": "{0} rlike r'[0-9](?:[ -]?[0-9]){{15}}'", "phone": "instr({0}, '+') > 0"}
+#: What a term is generalised to, by the first test that it passes.
+CLASSES = [("^[0-9]+$", "[NUMBER]"), ("[0-9]", "[CODE]"), (r"^\p{Lu}", "[NAME]"), ("", "[WORD]")]
 LABELS = {"email": "[EMAIL]", "ip": "[IP]", "card": "[CARD]", "phone": "[PHONE]"}
 WORD = r"[\p{L}\p{M}\p{N}]++"
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 
 
-def _positions(text: str, pattern: str) -> str:
+def _positions(text: str, pattern: str, hint: str | None = None) -> str:
     """SQL: all matches of a pattern in an expression as (start, end, value), in code points.
 
     Matches and the gaps between them give the lengths; starts are their sums, in blocks of 64, so that a text with very
@@ -54,12 +60,13 @@ def _positions(text: str, pattern: str) -> str:
     lengths = "transform(sequence(1, size(x.m)), i -> char_length(x.g[i - 1]) + char_length(x.m[i - 1]))"
     inner = f"transform(array({lengths}), l -> transform(array({starts}), o -> {each})[0])[0]"
     whole = f"transform(array(named_struct('g', split({text}, r'{pattern}', -1), 'm', regexp_extract_all({text}, r'{pattern}', 0))), x -> {inner})[0]"
-    return f"case when {text} rlike r'{pattern}' then {whole} else cast(array() as {_SPAN}) end"
+    where = f"{hint.format(text)} and {text} rlike r'{pattern}'" if hint else f"{text} rlike r'{pattern}'"
+    return f"case when {where} then {whole} else cast(array() as {_SPAN}) end"
 
 
 def base_spans(text: str, kind: str) -> Column:
     """Valid matches of a kind in a text column (not null): array of (start, end, value), by start, end exclusive."""
-    return F.expr(f"filter({_positions(text, PATTERNS[kind])}, v -> {VALID[kind]})")
+    return F.expr(f"filter({_positions(text, PATTERNS[kind], HINTS[kind])}, v -> {VALID[kind]})")
 
 
 _ENTITIES = "array_distinct(concat(" + ", ".join(f"transform({k}, v -> concat('{k}:', {ENTITY[k].replace('value', 'v.value')}))" for k in PATTERNS) + "))"
@@ -79,14 +86,19 @@ def disclosing(texts: DataFrame, lean: float = LEAN, generalise: float = GENERAL
 
     Entities of one text all give its terms the same share, so one of them stands for all.
     """
-    n = F.lit(float(max(1, texts.count())))
-    has = texts.where("t is not null").select("h", F.explode(F.expr(_ENTITIES)).alias("entity"))
-    n_entity = has.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    has = has.join(n_entity, "entity")
+    n_texts = texts.count()
+    n = F.lit(float(max(1, n_texts)))
+    has = stored(texts.where("t is not null").select("h", F.explode(F.expr(_ENTITIES)).alias("entity")), "held")
+    n_entity = stored(has.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).withColumn("times", F.col("n_entity")), "entities")
+    has = lookup(has, n_entity, ["entity"], n_texts, "times", F.col("h"))
     has = stored(has.groupBy("h", F.when(F.col("n_entity") > 1, F.col("entity")).alias("entity")).agg(F.first("n_entity").alias("n_entity")), "holders")
     words = stored(texts.where("t is not null").select("h", F.explode("words").alias("term")), "words")
-    n_term = texts.select(F.explode("words").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n_term = stored(n_term.join(words.select("term").distinct(), "term", "left_semi"), "terms")
+    asked = stored(words.groupBy("term").agg(F.count(F.lit(1)).alias("times")), "asked")
+    terms = asked.select("term")
+    terms = F.broadcast(terms) if asked.count() <= BROADCAST_TERMS else terms
+    n_term = texts.select(F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
+    n_term = stored(n_term.join(asked, "term"), "terms")  # times: texts with an entity that have the term
+    n_words = words.count()
 
     def share(n_both: Column) -> Column:
         # log2(P(entity | term) / P(entity)) of P(entity) bits, with lean pseudo-texts at P(entity)
@@ -94,16 +106,17 @@ def disclosing(texts: DataFrame, lean: float = LEAN, generalise: float = GENERAL
         ic = -F.log2(rate)
         return F.when(ic > 0, F.log2((n_both + lean * rate) / (F.col("n_term") + lean) / rate) / ic).otherwise(0.0).alias("share")
 
-    single = has.where("entity is null").select("h", "n_entity").join(words, "h").join(n_term, "term").select("h", "term", share(F.lit(1)))
+    single = lookup(has.where("entity is null").select("h", "n_entity").join(words, "h"), n_term, ["term"], n_words, "times", F.col("h")).select("h", "term", share(F.lit(1)))
     several = has.where("entity is not null").join(words, "h")
     pairs = several.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_entity").alias("n_entity"))
-    pairs = stored(pairs.join(n_term, "term").select("entity", "term", share(F.col("n_both"))).where(F.col("share") >= generalise), "pairs")
-    of_pairs = several.select("h", "entity", "term").join(pairs, ["entity", "term"]).select("h", "term", "share")
+    pairs = pairs.join(n_term.drop("times"), "term").select("entity", "term", "n_both", share(F.col("n_both"))).where(F.col("share") >= generalise)
+    of_pairs = lookup(several.select("h", "entity", "term"), stored(pairs, "pairs"), ["entity", "term"], n_words, "n_both", F.col("h"))
+    of_pairs = of_pairs.where("share is not null").select("h", "term", "share")
     return single.where(F.col("share") >= generalise).union(of_pairs).groupBy("h", "term").agg(F.max("share").alias("share"))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lean: float = LEAN, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(id_col, h, email, ip, card, phone, terms) per row of ``docs``; h: xxhash64 of the text; terms: (start, end, value) with value generalise or remove.
+    """(id_col, h, email, ip, card, phone, terms) per row of ``docs``; h: xxhash64 of the text; terms: (start, end, value) value: what stands for the term.
 
     Null counts as empty text. Rows that repeat an id and a text have the same spans; rows are never merged. An empty table
     gives no rows. Only documents that hold an entity can have terms: clean ones stay as they are. Terms inside a base span
@@ -112,23 +125,28 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lean:
     found = stored(found_entities(docs, id_col, text_col), "entities")
     texts = stored(found.select("h", *PATTERNS, "t", "words").dropDuplicates(["h"]), "texts")
     reveals = stored(disclosing(texts, lean, generalise), "disclosing")
-    at = texts.where("t is not null").select("h", F.expr(f"inline({_positions('t', WORD)})")).select("h", F.lower("value").alias("term"), "start", "end")
-    kind = F.when(F.col("share") >= remove, "remove").otherwise("generalise").alias("value")
-    by_text = at.join(reveals, ["h", "term"]).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("start", "end", kind))).alias("terms")).withColumnRenamed("h", "of_h")
-    out = found.drop("t", "words").join(stored(by_text, "terms"), F.col("h") == F.col("of_h"), "left")
+    at = texts.where("t is not null").select("h", F.expr(f"inline({_positions('t', WORD)})")).select("h", F.lower("value").alias("term"), F.col("value").alias("word"), "start", "end")
+    label = F.when(F.col("share") >= remove, "")
+    for pattern, name in CLASSES:
+        label = label.when(F.col("word").rlike(pattern), name)
+    by_text = at.join(reveals, ["h", "term"]).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("start", "end", label.alias("value")))).alias("terms"))
+    by_text = by_text.join(found.where("t is not null").groupBy("h").agg(F.count(F.lit(1)).alias("times")), "h")
+    out = lookup(found.drop("t", "words"), stored(by_text, "terms"), ["h"], found.count(), "times", F.col("id"))
     outside = F.expr(f"filter(terms, w -> not exists({_BASE}, b -> b.start < w.end and w.start < b.end))")
     return out.select(F.col("id").alias(id_col), "h", *PATTERNS, F.coalesce(outside, F.expr(f"cast(array() as {_SPAN})")).alias("terms"))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:
-    """``docs`` with base spans replaced by their kind, revealing terms by [TERM] or nothing; all columns and rows stay.
+    """``docs`` with base spans replaced by their kind, revealing terms by their class or nothing; all columns and rows stay.
+
+    A term is generalised to the class of what it looks like: a number, a code of letters and digits, a name, a word.
 
     Overlapping spans are replaced once, from the first one's start to the last one's end, by the first one's label.
     """
     inner, name = shielded(docs)
     id_col, text_col = name[id_col], name[text_col]
     found = spans(inner, id_col, text_col, **how)
-    marks = ", ".join([*(f"transform({k}, v -> named_struct('start', v.start, 'end', v.end, 'label', '{label}'))" for k, label in LABELS.items()), "transform(terms, v -> named_struct('start', v.start, 'end', v.end, 'label', case when v.value = 'remove' then '' else '[TERM]' end))"])
+    marks = ", ".join([*(f"transform({k}, v -> named_struct('start', v.start, 'end', v.end, 'label', '{label}'))" for k, label in LABELS.items()), "transform(terms, v -> named_struct('start', v.start, 'end', v.end, 'label', v.value))"])
     edits = found.select(F.col(id_col).alias("pii_id"), F.col("h").alias("pii_h"), F.expr(f"array_sort(concat({marks}))").alias("pii_marks")).where(F.size("pii_marks") > 0).distinct()
     edits = stored(edits, "edits")
     rows = inner.withColumn("pii_key", F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
