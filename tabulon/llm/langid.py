@@ -3,7 +3,7 @@
 Text likelihoods come from a naive Bayes model over hashed character 1- to 3-grams. To its log-likelihood are added the log
 odds of what a page declares about itself (markup language, the language part of its address) and the log prior of where it
 comes from, smoothed over a hierarchy from all pages over address suffix and domain to the host. Both are estimated by
-grouped aggregation of the text posteriors of all rows; a row's own contribution is taken out of its host's counts.
+grouped aggregation of the text posteriors of all rows; a row's own contribution is taken out of every count it is judged by.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ._base import load, stored
+from ._base import load, lookup, shielded, stored
 
 #: Labelled rows that the text model is fitted on, at most: those of the smallest hashes. Everything else covers all rows.
 SAMPLE = 2000
@@ -161,49 +161,58 @@ def fuse(evidence: DataFrame, model: TextModel, levels: list[str], declared: lis
     ``levels``: columns from the widest to the narrowest place (suffix, domain, host); ``declared``: columns of what a row
     says of itself. A null place is a place of its own; a null declaration says nothing. A row without letters, with a
     posterior below ``confidence``, or with n-grams as unlikely in every language as no labelled text's, is rejected and has
-    no language.
+    no language. Of equal posteriors the language first by name counts; rows that repeat count each; an empty table gives
+    no rows.
     """
     k = range(max(1, len(model.languages)))
+    inner, name = shielded(evidence)
+    levels, declared = [name[c] for c in levels], [name[c] for c in declared]
+    rows = inner.withColumns({"ll": F.col(name["ll"]), "n_grams": F.col(name["n_grams"])})
     p = _softmax(F.col("ll"))
-    rows = evidence.withColumn("p", F.when(F.col("n_grams") > 0, p).otherwise(F.array(*[F.lit(0.0)] * len(k))))
+    rows = rows.withColumn("p", F.when(F.col("n_grams") > 0, p).otherwise(F.array(*[F.lit(0.0)] * len(k))))
     rows = rows.withColumns({f"place_{i}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for i, c in enumerate(levels)})
-    sums = [F.sum(F.col("p")[i]).alias(f"n{i}") for i in k]
+    sums = lambda of: F.array(*(F.sum(of(i)) for i in k))
     places = [f"place_{i}" for i in range(len(levels))]
-    counts = stored(rows.groupBy(*places).agg(*sums), "places")
-    total = counts.agg(*(F.coalesce(F.sum(f"n{i}"), F.lit(0.0)).alias(f"n{i}") for i in k)).first()
-    everywhere = np.array([total[f"n{i}"] for i in k]) + 1.0
-    prior: Column = F.array(*[F.lit(float(x)) for x in everywhere / everywhere.sum()])
+    counts = stored(rows.groupBy(*places).agg(sums(lambda i: F.col("p")[i]).alias("n"), F.count(F.lit(1)).alias("times")), "places")
+    total = counts.agg(*(F.coalesce(F.sum(F.col("n")[i]), F.lit(0.0)) for i in k), F.coalesce(F.sum("times"), F.lit(0))).first()
+    everywhere, n_rows = [float(x) for x in total[:-1]], total[-1]
+
+    # a row has no say in its own priors: at every level its posterior is taken out of the counts
+    def without(counts: Column) -> list[Column]:
+        return [F.greatest(counts[i] - F.col("p")[i], F.lit(0.0)) for i in k]
 
     def smoothed(counts: list[Column], above: Column) -> Column:
         n = sum(counts[1:], counts[0])
         return F.array(*((counts[i] + lean * above[i]) / (n + lean) for i in k))
 
-    narrow = None
-    for depth in range(1, len(levels)):  # all levels above the narrowest, each smoothed towards the one above
-        at = counts.groupBy(*places[:depth]).agg(*(F.sum(f"n{i}").alias(f"n{i}") for i in k))
-        if narrow is None:
-            narrow = at.select(*places[:depth], smoothed([F.col(f"n{i}") for i in k], prior).alias("above"))
-        else:
-            narrow = at.join(narrow, places[: depth - 1]).select(*places[:depth], smoothed([F.col(f"n{i}") for i in k], F.col("above")).alias("above"))
-    hosts = counts.withColumn("above", prior) if narrow is None else counts.join(narrow, places[:-1])
+    spread = F.concat_ws("|", F.array_join("ll", ","), *places)
+    out, seen = rows, ["n"]
     if levels:
-        out = rows.join(hosts, places)
-        out = out.withColumn("place", smoothed([F.greatest(F.col(f"n{i}") - F.col("p")[i], F.lit(0.0)) for i in k], F.col("above"))).drop("above", *(f"n{i}" for i in k))
-    else:
-        out = rows.withColumn("place", prior)
-    score = [F.col("ll")[i] + F.log(F.col("place")[i]) for i in k]
+        wide = counts
+        for depth in range(1, len(levels)):  # of all levels above the narrowest, carried by the narrowest one's rows
+            at = counts.groupBy(*places[:depth]).agg(sums(lambda i: F.col("n")[i]).alias(f"n_{depth}"), F.count(F.lit(1)).alias("hosts"))
+            wide = lookup(wide, stored(at, "places"), places[:depth], n_rows, "hosts", F.col(places[-1]))
+        seen = [*(f"n_{depth}" for depth in range(1, len(levels))), "n"]
+        out = lookup(rows, stored(wide, "wide"), places, n_rows, "times", spread)
+    left = [F.greatest(F.lit(everywhere[i]) - F.col("p")[i], F.lit(0.0)) + 1.0 for i in k]
+    out = out.withColumn("place_prior", F.array(*(x / sum(left[1:], left[0]) for x in left)))
+    for j, c in enumerate(seen if levels else []):  # level by level, each smoothed towards the one above
+        out = out.withColumn(f"place_{j}_prior", smoothed(without(F.col(c)), F.col("place_prior" if j == 0 else f"place_{j - 1}_prior")))
+    place = f"place_{len(seen) - 1}_prior" if levels else "place_prior"
+    score = [F.col("ll")[i] + F.log(F.col(place)[i]) for i in k]
     for d in declared:
-        said = rows.where(F.col(d).isNotNull()).groupBy(F.col(d).alias("said")).agg(*sums)
-        said = said.select("said", smoothed([F.col(f"n{i}") for i in k], prior).alias(f"by_{d}"))
-        out = out.join(said, out[d] == said["said"], "left").drop("said")
-        score = [s + F.coalesce(F.log(F.col(f"by_{d}")[i] / prior[i]), F.lit(0.0)) for i, s in enumerate(score)]
+        said = rows.where(F.col(d).isNotNull()).groupBy(F.col(d).alias(f"said_{d}")).agg(sums(lambda i: F.col("p")[i]).alias(f"by_{d}"), F.count(F.lit(1)).alias("times"))
+        said = stored(said, "declared")
+        out = lookup(out.withColumn(f"said_{d}", F.col(d)), said, [f"said_{d}"], n_rows, "times", spread)
+        by = smoothed(without(F.col(f"by_{d}")), F.col("place_prior"))
+        score = [s + F.coalesce(F.log(by[i] / F.col("place_prior")[i]), F.lit(0.0)) for i, s in enumerate(score)]
     out = out.withColumn("posterior_all", _softmax(F.array(*score)))
     best = F.array_position("posterior_all", F.array_max("posterior_all")).cast("int")
     names = F.array(*[F.lit(x) for x in model.languages or [None]]).cast("array<string>")
     typical = F.array_max("ll") * (1 / EVIDENCE + 1 / F.greatest(F.col("n_grams"), F.lit(1)))
     foreign = typical < F.lit(model.floor) - SHORT / F.sqrt(F.greatest(F.col("n_grams"), F.lit(1)))
     out = out.withColumn("posterior", F.array_max("posterior_all")).withColumn("rejected", (F.col("n_grams") == 0) | (F.col("posterior") < confidence) | foreign | F.lit(not model.languages))
-    return out.withColumn("language", F.when(~F.col("rejected"), F.element_at(names, best))).drop("posterior_all", "p", "place", *places, *(f"by_{d}" for d in declared))
+    return out.withColumn("language", F.when(~F.col("rejected"), F.element_at(names, best))).select(*inner.columns, "language", "posterior", "rejected").toDF(*evidence.columns, "language", "posterior", "rejected")
 
 
 def page_parts(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> DataFrame:
@@ -221,7 +230,11 @@ def page_parts(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Da
 
 
 def page_languages(pages: DataFrame, model: TextModel, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """(id_col, language, posterior, rejected, markup, address, host) per row of ``pages``; null url or html are empty."""
+    """(id_col, language, posterior, rejected, markup, address, host) per row of ``pages``; null url or html are empty.
+
+    Html is read whole, however long; rows that repeat an id or a page stay apart; an empty table gives no rows; other
+    columns, whatever their names, are not looked at.
+    """
     parts = page_parts(pages, id_col, url_col, html_col)
     evidence = stored(text_evidence(parts, "text", model, ["id", "markup", "address", "suffix", "domain", "host"]), "evidence")
     out = fuse(evidence, model, ["suffix", "domain", "host"], ["markup", "address"])
