@@ -1,5 +1,8 @@
-"""Legacy archives to WARC: ARC 1 and 2 records are parsed by their header lines and declared lengths, and equivalent WARC
+"""Legacy archives to WARC: ARC 1 and 2 files are parsed by their header lines and declared lengths, and equivalent WARC
 records made of them, with identifiers, timestamps, types and digests; archives are written and read back through Spark.
+
+Pages pass through files three times: ``write_legacy`` stores them as a legacy crawler did, ``convert`` reads such files and
+writes WARC files, ``read_archives`` reads these. A file holds about ARCHIVE_BYTES of payload and is the work of one task.
 """
 
 from __future__ import annotations
@@ -10,17 +13,20 @@ import re
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import load, shared_dir, stored
+from ._base import load, lookup, shared_dir, stored
 
 #: Payloads of at least so many bytes become revisits when met again.
 REVISIT_BYTES = 1000
-#: Bytes of payload of an archive file, about: one file is read by one task.
-ARCHIVE_BYTES = 16_000_000
+#: Bytes of an archive file, about: one file is read by one task; a longer record has a file of its own.
+ARCHIVE_BYTES = 8_000_000
+#: Header fields of an archived page's HTTP message and of its WARC record that carry the page's key.
+PAGE_KEY, RECORD_KEY, REFERS_KEY = "X-Page-Key", "X-Record-Key", "X-Refers-To-Key"
 #: The fields of an ARC header line by version, and WARC's names.
 ARC_FIELDS = {1: ("url", "ip", "date", "type", "length"), 2: ("url", "ip", "date", "type", "status", "checksum", "location", "offset", "filename", "length")}
 WARC_VERSION = "WARC/1.1"
@@ -157,45 +163,122 @@ def page_record_id(page_id: object, sha1: str) -> str:
     return record_id("page", page_id, sha1)
 
 
-def legacy_page(url: str | None, html: bytes, version: int, date: str = "20010203040506") -> ArcRecord:
-    """A page as a legacy crawler stored it: an HTTP message under its address."""
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(html)}\r\n\r\n".encode()
-    return ArcRecord(url or "unknown:", "0.0.0.0", date, "text/html", head + html, status="200" if version == 2 else "-", version=version)
+def legacy_page(url: str | None, html: bytes, version: int, key: object = None) -> ArcRecord:
+    """A page as a legacy crawler stored it: an HTTP message under its address, here with the page's key among its headers.
+
+    Pages tell neither when nor where they were fetched: both are made from the address, alike on every run.
+    """
+    h = hashlib.md5((url or "").encode()).digest()
+    date = f"{1996 + h[0] % 10}{1 + h[1] % 12:02}{1 + h[2] % 28:02}{h[3] % 24:02}{h[4] % 60:02}{h[5] % 60:02}"
+    mine = f"{PAGE_KEY}: {key}\r\n" if key is not None else ""
+    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{mine}Content-Length: {len(html)}\r\n\r\n".encode()
+    return ArcRecord(url or "unknown:", f"192.0.2.{h[6]}", date, "text/html", head + html, "200" if version == 2 else "-", "-", version)
+
+
+def _keyed(block: bytes) -> tuple[str | None, bytes]:
+    """The page's key in an HTTP message, and the message's payload."""
+    head, _, payload = block.partition(b"\r\n\r\n")
+    key = re.search(rb"\r\n" + PAGE_KEY.encode() + rb": ([^\r]*)", head)
+    return key and key[1].decode(), payload
+
+
+_FILES = {"compression": "gzip", "lineSep": "\n", "maxRecordsPerFile": 1}
+
 
+def _in_files(parts: Iterator[bytes], before: bytes = b"") -> Iterator[pa.RecordBatch]:
+    """Records joined to the contents of files, a row each, less the line feed that Spark's text writer adds."""
+    held, size = [before], 0
+    for p in chain(parts, [None]):
+        if size and (p is None or size + len(p) > ARCHIVE_BYTES):
+            yield pa.RecordBatch.from_arrays([pa.array([b"".join(held)[:-1].decode()], pa.string())], names=["value"])
+            held, size = [before], 0
+        if p is not None:
+            held.append(p)
+            size += len(p)
 
-def write_archives(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", version: int = 1, revisit_bytes: int = REVISIT_BYTES) -> None:
-    """Pages as legacy records, converted, written as gzipped WARC files to ``path``.
 
-    Of pages of equal payload of ``revisit_bytes`` or more, the greatest id is the response and the others revisit it (rows
-    that repeat this id are responses). A null payload is empty, a null address ``unknown:``; a null id counts as lowest.
+def _contents(spark: SparkSession, path: str) -> DataFrame:
+    """(path, content) of the gzipped files in a folder."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("path", "content")
+
+
+def write_legacy(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", versions: tuple[int, ...] = (1, 2)) -> None:
+    """Pages as gzipped ARC files in ``path``, the files of one task in one of ``versions``.
+
+    A null payload is empty, a null address ``unknown:``, a page of null id has no key; every row is a record.
     """
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
-    rows = rows.withColumns({"sha1": F.sha1("html"), "n": F.octet_length("html")})
-    best = stored(rows.where(F.col("n") >= revisit_bytes).groupBy("sha1").agg(F.max("id").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1").select(F.col("sha1").alias("of"), "first"), "revisits")
-    rows = rows.join(best, (rows["sha1"] == best["of"]) & (rows["n"] >= revisit_bytes), "left").select("id", "url", F.when(F.col("first").isNotNull() & ~F.col("id").eqNullSafe(F.col("first")), F.col("first")).alias("first"), "sha1", F.when(F.col("first").isNull() | F.col("id").eqNullSafe(F.col("first")), F.lit(1)).alias("own"), "html")
+    rows = pages.select(F.col(id_col).cast("string").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(html_col).cast("string"), F.lit("")).alias("html"))
+
+    def legacy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        version = versions[TaskContext.get().partitionId() % len(versions)]
+
+        def records() -> Iterator[bytes]:
+            for b in batches:
+                for key, url, html in zip(*b.columns, strict=True):
+                    yield arc_bytes(legacy_page(url.as_py(), html.as_py().encode(), version, key.as_py()))
+
+        yield from _in_files(records(), arc_header(version))
+
+    rows.mapInArrow(legacy, "value string").write.options(**_FILES).text(path)
+
+
+def legacy_index(spark: SparkSession, path: str) -> DataFrame:
+    """(path, key, sha1, n) of each page in the ARC files of ``path``: where it is, its payload's digest and bytes."""
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import gzip
 
-    def convert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = []
-            for row in b.to_pylist():
-                arc = next(parse_arc(arc_bytes(legacy_page(row["url"], row["html"].encode(), version)))) if version == 1 else list(parse_arc(arc_header(2) + arc_bytes(legacy_page(row["url"], row["html"].encode(), version))))[1]
-                warc = to_warc(arc)
-                warc.headers["WARC-Record-ID"] = page_record_id(row["id"], row["sha1"])
-                if row["id"] is not None:
-                    warc.headers["X-Record-Key"] = str(row["id"])
-                if row["own"] is None:
-                    warc = as_revisit(warc, page_record_id(row["first"], row["sha1"]))
-                    warc.headers["X-Refers-To-Key"] = str(row["first"])
-                out.append(warc.to_bytes()[:-4].decode())
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.string())], names=["value"])
-
-    mean = pages.agg(F.avg(F.octet_length(F.col(html_col).cast("string")))).first()[0] or 0
-    per_file = max(1, int(ARCHIVE_BYTES / (mean + 500)))
-    rows.mapInArrow(convert, "value string").write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+            for at, content in zip(*b.columns, strict=True):
+                rows = [_keyed(r.body) for r in parse_arc(gzip.decompress(content.as_py())) if not r.url.startswith("filedesc:")]
+                names = ["path", "key", "sha1", "n"]
+                yield pa.RecordBatch.from_arrays([pa.array([at.as_py()] * len(rows), pa.string()), pa.array([k for k, _ in rows], pa.string()), pa.array([hashlib.sha1(p).hexdigest() for _, p in rows], pa.string()), pa.array([len(p) for _, p in rows], pa.int64())], names=names)
+
+    return _contents(spark, path).mapInArrow(parse, "path string, key string, sha1 string, n long")
+
+
+def convert(spark: SparkSession, legacy: str, path: str, id_type: str = "long", revisit_bytes: int = REVISIT_BYTES) -> None:
+    """ARC files of pages as gzipped WARC files in ``path``.
+
+    Of pages of equal payload of ``revisit_bytes`` or more, the greatest key is the response and the others revisit it (rows
+    that repeat this key are responses; a page without key counts as lowest). Digests are compared without payloads, and what
+    a file's pages revisit is joined to the file by its path.
+    """
+    index = stored(legacy_index(spark, legacy), "index")
+    big = index.where(F.col("n") >= revisit_bytes)
+    best = big.groupBy("sha1").agg(F.max(F.col("key").cast(id_type)).cast("string").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1 and first is not null")
+    of = lookup(big, stored(best, "repeated"), ["sha1"], index.count(), "times", F.concat_ws("|", "path", "key"))
+    of = of.where(F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))).select("path", "sha1", "first").distinct()
+    revisits = of.groupBy(F.col("path").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("sha1", "first"))).alias("first"))
+    files = _contents(spark, legacy)
+    files = files.join(stored(revisits, "revisits"), files["path"] == F.col("of"), "left").select("content", F.map_entries("first").alias("first"))
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[bytes]:
+        import gzip
+
+        for b in batches:
+            for content, revisits in zip(*b.columns, strict=True):
+                first = {e["key"]: e["value"] for e in revisits.as_py() or []}
+                for arc in parse_arc(gzip.decompress(content.as_py())):
+                    warc = to_warc(arc)
+                    if warc.headers["WARC-Type"] != "warcinfo":
+                        key, payload = _keyed(arc.body)
+                        sha1 = hashlib.sha1(payload).hexdigest()
+                        warc.headers["WARC-Record-ID"] = page_record_id(key, sha1)
+                        if key is not None:
+                            warc.headers[RECORD_KEY] = key
+                        if len(payload) >= revisit_bytes and first.get(sha1, key) != key:
+                            warc = as_revisit(warc, page_record_id(first[sha1], sha1))
+                            warc.headers[REFERS_KEY] = first[sha1]
+                    yield warc.to_bytes()
+
+    files.mapInArrow(lambda batches: _in_files(made(batches)), "value string").write.options(**_FILES).text(path)
 
 
 def read_archives(spark: SparkSession, path: str, id_type: str = "long") -> DataFrame:
-    """(key, record_type, record_id, refers_to_id, refers_to, block_bytes, payload_bytes, payload_digest) of each record of the archives in ``path``.
+    """(key, record_type, record_id, refers_to_id, refers_to, block_bytes, payload_bytes, payload_digest) of each page record of the archives in ``path``.
 
     Digests are checked against the payload that a record has; a revisit's size is that of the record it refers to.
     """
@@ -208,28 +291,35 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "long") -> Data
                 rows = []
                 for r in parse_warc(gzip.decompress(content.as_py())):
                     h, payload = r.headers, r.payload
+                    if h["WARC-Type"] == "warcinfo":
+                        continue
                     own = h["WARC-Type"] != "revisit"
                     if own and digest(payload) != h["WARC-Payload-Digest"]:
                         raise DamagedArchive(f"{h['WARC-Record-ID']}: the payload's digest is another")
-                    rows.append((h.get("X-Record-Key"), h["WARC-Type"], h["WARC-Record-ID"], h.get("WARC-Refers-To"), h.get("X-Refers-To-Key"), len(r.block), len(payload) if own else None, base64.b32decode(h["WARC-Payload-Digest"][5:]).hex()))
+                    rows.append((h.get(RECORD_KEY), h["WARC-Type"], h["WARC-Record-ID"], h.get("WARC-Refers-To"), h.get(REFERS_KEY), len(r.block), len(payload) if own else None, base64.b32decode(h["WARC-Payload-Digest"][5:]).hex()))
                 kinds = (*[pa.string()] * 5, pa.int64(), pa.int64(), pa.string())
                 names = ["key", "record_type", "record_id", "refers_to_id", "refers_to", "block_bytes", "payload_bytes", "payload_digest"]
                 yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], k) for i, k in enumerate(kinds)], names=names)
 
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).select("content")
+    files = _contents(spark, path).select("content")
     records = stored(files.mapInArrow(parse, "key string, record_type string, record_id string, refers_to_id string, refers_to string, block_bytes long, payload_bytes long, payload_digest string"), "records")
-    sizes = records.where("record_type = 'response'").join(records.where("record_type = 'revisit'").select(F.col("refers_to_id").alias("record_id")).distinct(), "record_id", "left_semi")
-    sizes = sizes.groupBy(F.col("record_id").alias("at")).agg(F.max("payload_bytes").alias("size"))
-    out = records.join(sizes, records["refers_to_id"] == sizes["at"], "left")
+    referred = records.where("record_type = 'revisit'").groupBy("refers_to_id").agg(F.count(F.lit(1)).alias("times"))
+    sizes = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("payload_bytes").alias("size")).join(referred, "refers_to_id")
+    out = lookup(records, stored(sizes, "sizes"), ["refers_to_id"], records.count(), "times", F.col("record_id"))
     return out.select(F.col("key").cast(id_type), "record_type", "record_id", "refers_to_id", F.col("refers_to").cast(id_type), "block_bytes", F.coalesce("payload_bytes", "size").alias("payload_bytes"), "payload_digest")
 
 
+def archived(pages: DataFrame, path: str, id_col: str = "page_id", **columns: str) -> DataFrame:
+    """Pages through legacy files in ``path``/arc to WARC files in ``path``/warc, and what ``read_archives`` finds there."""
+    spark, kind = pages.sparkSession, pages.schema[id_col].dataType.simpleString()
+    write_legacy(pages, f"{path}/arc", id_col, **columns)
+    convert(spark, f"{path}/arc", f"{path}/warc", kind)
+    return read_archives(spark, f"{path}/warc", kind)
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All pages through legacy records to WARC archives, and what these hold."""
-    path = f"{shared_dir(spark)}/tabulon-archives-{uuid.uuid4().hex}"
-    pages = load(spark, sf_dir, "pages")
-    write_archives(pages, path)
-    got = read_archives(spark, path, pages.schema["page_id"].dataType.simpleString())
+    """All pages through legacy archives to WARC archives, and what these hold."""
+    got = archived(load(spark, sf_dir, "pages"), f"{shared_dir(spark)}/tabulon-archives-{uuid.uuid4().hex}")
     return got.select(F.col("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
