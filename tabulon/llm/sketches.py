@@ -6,6 +6,8 @@ sketch of the whole; two of them estimate resemblance and containment, one the n
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -13,14 +15,12 @@ from ._base import load, stored
 
 K = 128
 WORDS = 5
-#: Documents of one bucket when they are put in order: about FEW while there are under BUCKETS buckets, up to MANY beyond.
-FEW, MANY, BUCKETS = 256, 65_536, 4_096
-#: Bits by which keys are dealt when buckets themselves are put in order.
-BUCKET_BITS = 8
-#: One row a bucket is broadcast up to so many buckets (24 bytes each).
-BROADCAST_ROWS = 2_000_000
-#: Keys that one task may order.
-ORDERED_AT_ONCE = 10_000
+#: Documents are put in order by ranges of ids, cut at quantiles: of FEW documents about, but at most RANGES ranges.
+FEW, RANGES = 256, 32_768
+#: Parts by text hash of an id that fills whole ranges: six leading bits.
+PARTS = 64
+#: One row a range is broadcast up to so many (40 bytes each).
+BROADCAST_ROWS = 500_000
 LEAST_ID = -(1 << 63)
 
 
@@ -71,50 +71,66 @@ def merged(parts: DataFrame, key: str, sketch_col: str, k: int = K) -> DataFrame
     return keys.join(full, keys[key].eqNullSafe(full[key]), "left").select(keys[key], F.coalesce(sketch_col, F.array().cast("array<bigint>")).alias(sketch_col))
 
 
-def next_lower(keys: DataFrame) -> DataFrame:
-    """``keys`` (k long, distinct, not null) with nxt: the greatest key below k; null for the least.
+def _literal(numbers: list, kind: str) -> Column:
+    """An array of numbers as one literal."""
+    return F.split(F.lit(",".join(map(str, numbers))), ",").cast(f"array<{kind}>")
 
-    Keys are ordered in buckets of neighbouring values; only the first keys of buckets go on to the next level, so no task
-    ever orders more than a bucket (or ORDERED_AT_ONCE keys).
-    """
-    if keys.count() <= ORDERED_AT_ONCE:
-        return keys.withColumn("nxt", F.lead("k").over(Window.orderBy(F.col("k").desc())))
-    bucket = F.shiftright("k", BUCKET_BITS)
-    own = keys.withColumn("b", bucket).withColumn("nxt", F.lead("k").over(Window.partitionBy("b").orderBy(F.col("k").desc())))
-    tops = stored(keys.groupBy(bucket.alias("k")).agg(F.max("k").alias("top")), "tops")
-    below = next_lower(tops.select("k")).join(tops.select(F.col("k").alias("nxt"), "top"), "nxt").select(F.col("k").alias("b"), "top")
-    return own.join(below, "b", "left").select("k", F.coalesce("nxt", "top").alias("nxt"))
 
+def _range_of(at: Column, h: Column, cuts: list[int]) -> Column:
+    """The place, later for lower ids, of the range of ``at``; ranges begin at ``cuts``. An id that fills whole ranges is dealt over PARTS by ``h``."""
+    edges, heavy = sorted(set(cuts)), sorted(c for c, k in Counter(cuts).items() if k > 1)
+    if not edges:
+        return F.lit(0).cast("long")
+    steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(edges).bit_length()))))
+    edge = lambda i: F.element_at(_literal(edges, "bigint"), F.least(i, F.lit(len(edges))))
+    found = F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= len(edges)) & (edge(n + s) <= at), n + s).otherwise(n))
+    part = F.when(F.array_contains(_literal(heavy, "bigint"), at), F.call_function("shiftright", h, F.lit(58)) + PARTS // 2).otherwise(0) if heavy else F.lit(0)
+    return (part - found.cast("long") * PARTS).cast("long")
 
-def with_next(docs: DataFrame, values: dict[str, Column], id_col: str = "doc_id") -> DataFrame:
+
+def with_next(docs: DataFrame, values: dict[str, Column], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` plus, for each of ``values`` computed on a document, next_<name>: that of the next document by descending id.
 
-    After the last document comes the first. A null id counts as the lowest; of rows that repeat an id, the smaller text
-    comes first. Texts move once: by bucket of neighbouring ids; a bucket's last document gets its successor, the first
-    one of the bucket below, by a join of one row a bucket, whose texts alone are picked out by a second scan.
+    After the last document comes the first. Ids are whole numbers (a TypeError otherwise); a null id counts as the lowest;
+    of rows that repeat an id, the smaller xxhash64 of the text comes first. A null text is a text of its own. An empty table
+    gives no rows. Texts move once: by ranges of ids, cut at quantiles, so that gaps between ids don't matter; a range's last
+    document gets its successor, the first one of the next range, by a join of one row a range, whose texts alone are picked
+    out by a second scan. Names that begin with two underscores must be free.
     """
-    rows = docs.withColumn("__at", F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)))
-    n, low, high = rows.agg(F.count(F.lit(1)), F.min(id_col), F.max(id_col)).first()
-    buckets = max(1, min(n // FEW, max(BUCKETS, n // MANY)))
-    rows = rows.withColumn("__b", F.shiftright("__at", max(1, ((high or 0) - (low or 0) + 1) // buckets).bit_length() - 1))
-    tops = stored(rows.groupBy(F.col("__b").alias("k")).agg(F.max("__at").alias("__top")), "tops")
-    ends = tops.agg(F.min("k").alias("k"), F.max("k").alias("first"))
-    below = next_lower(tops.select("k")).crossJoin(F.broadcast(ends.select("first"))).select(F.col("k").alias("__of"), F.coalesce("nxt", "first").alias("__b"))  # ends: one row
-    heads = tops.select(F.col("k").alias("__b"), "__top").join(below, "__b")
-    dealt = rows.repartition("__b")
-    order = Window.partitionBy("__b").orderBy(F.col("__at").desc(), F.col("text").asc_nulls_first())
-    own = dealt.withColumns(values).withColumn("__last", F.lead(F.lit(1)).over(order).isNull())
-    own = own.withColumns({f"__in_{v}": F.lead(v).over(order) for v in values})
-    heads = heads.withColumnRenamed("__b", "__of_b")
-    first = rows.join(F.broadcast(heads) if heads.count() <= BROADCAST_ROWS else heads, (F.col("__b") == F.col("__of_b")) & (F.col("__at") == F.col("__top"))).groupBy("__b", "__of").agg(F.min("text").alias("text"))
-    first = first.withColumns(values).select(F.col("__of").alias("__b"), *(F.col(v).alias(f"__out_{v}") for v in values))
-    out = own.join(first, "__b", "left")
+    if docs.schema[id_col].dataType.simpleString() not in ("tinyint", "smallint", "int", "bigint"):
+        raise TypeError(f"{id_col}: the order of documents is that of whole numbers")
+    # ranges and documents in them are in ascending order of (minus the range of ids, minus the id, the text's hash)
+    rows = docs.withColumns({"__at": F.coalesce(F.col(id_col).cast("long"), F.lit(LEAST_ID)), "__h": F.xxhash64(text_col)})
+    n = rows.count()
+    ranges = max(1, min(n // FEW, RANGES))
+    cuts = rows.agg(F.percentile_approx("__at", _literal([i / ranges for i in range(1, ranges)], "double"), 20 * ranges)).first()[0] if ranges > 1 else []
+    rows = rows.withColumn("__b", _range_of(F.col("__at"), F.col("__h"), cuts))
+    order = [F.col("__at").desc(), F.col("__h")]
+    # a row a range, whose number doesn't grow with the table: RANGES, and PARTS for each id that fills two of them
+    tops = stored(rows.groupBy("__b").agg(F.min(F.struct((-1 - F.col("__at")).alias("a"), "__h")).alias("top")), "tops")
+    heads = tops.withColumn("__of", F.coalesce(F.lag("__b").over(Window.orderBy("__b")), F.max("__b").over(Window.partitionBy())))
+    heads = heads.select(F.col("__b").alias("__hb"), (-1 - F.col("top.a")).alias("__ha"), F.col("top.__h").alias("__hh"), "__of")
+    place = Window.partitionBy("__b").orderBy(*order)
+    own = rows.repartition("__b").withColumns(values).withColumn("__last", F.lead(F.lit(1)).over(place).isNull())
+    own = own.withColumns({f"__in_{v}": F.lead(v).over(place) for v in values})
+    first = rows.join(F.broadcast(heads) if tops.count() <= BROADCAST_ROWS else heads, (F.col("__b") == F.col("__hb")) & (F.col("__at") == F.col("__ha")) & (F.col("__h") == F.col("__hh"))).groupBy("__of").agg(F.min(text_col).alias(text_col))
+    first = first.withColumns(values).select(F.col("__of").alias("__fb"), *(F.col(v).alias(f"__out_{v}") for v in values))
+    out = own.join(first, own["__b"] == first["__fb"], "left")
     return out.select(*docs.columns, *values, *(F.when(F.col("__last"), F.col(f"__out_{v}")).otherwise(F.col(f"__in_{v}")).alias(f"next_{v}") for v in values))
 
 
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's fingerprint, that of its edited text, and how like it is to this and to the next document."""
-    docs = load(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    return edited_fingerprints(load(spark, sf_dir, "documents"))
+
+
+def edited_fingerprints(docs: DataFrame) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): sketches of texts and of texts edited by the next document's beginning.
+
+    Null counts as empty text; a text without words has an empty sketch; rows that repeat an id stay apart, in the order of
+    ``with_next``; the only row of a table is its own next one; an empty table gives no rows; other columns don't matter.
+    """
+    docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = with_next(docs, {"body": F.col("text"), "sketch": sketch(F.col("text"))})
     rows = rows.withColumn("n_chars", F.char_length("text").cast("long")).withColumn("cut", F.floor(F.col("n_chars") / 3).cast("int"))
     edited = F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - F.col("cut")).cast("int")), F.substring("next_body", F.lit(1), F.col("cut")))
