@@ -26,6 +26,8 @@ from .bpe import PATTERN
 KNOWN = 400_000
 #: Characters of text whose pre-tokens are counted together.
 AT_ONCE = 1_000_000
+#: Bits that count pieces beside a cost: a text of Spark has less than 2**31 bytes.
+PIECE_BITS = 31
 _WORDS = regex.compile(PATTERN)
 
 
@@ -45,10 +47,10 @@ class Unigram:
         with open(path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         top = len(ranks) + 1
-        # cost and piece in one integer: cost first, then the number of pieces
-        self.cost = {t: (round(4096 * log2(r + 2)) << 24) + 1 for t, r in ranks.items()}
+        # cost and piece in one integer: cost first, then the number of pieces, with more bits than a text can have pieces
+        self.cost = {t: (round(4096 * log2(r + 2)) << PIECE_BITS) + 1 for t, r in ranks.items()}
         for b in range(256):
-            self.cost.setdefault(bytes([b]), (round(4096 * log2(top + 2)) << 24) + 1)
+            self.cost.setdefault(bytes([b]), (round(4096 * log2(top + 2)) << PIECE_BITS) + 1)
         # every ending of a piece: its cost, or 0 if it isn't a piece itself; what is missing ends no piece
         self._endings = {t[i:]: 0 for t in self.cost for i in range(len(t))} | self.cost
 
@@ -71,7 +73,7 @@ class Unigram:
                     if c and path[i] + c < best:
                         best = path[i] + c
                 path.append(best)
-            out.append(path[n] & 0xFFFFFF)
+            out.append(path[n] & (1 << PIECE_BITS) - 1)
             before = w
         return out
 
@@ -97,7 +99,11 @@ def count_batch(texts: list[str], model: Unigram, known: dict[str, int]) -> tupl
 
 
 def token_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None) -> DataFrame:
-    """(id_col, n_pretokens, n_tokens) per row of ``docs``; null and empty texts have 0. Pre-tokens of 16M bytes or more are out of range."""
+    """(id_col, n_pretokens, n_tokens) per row of ``docs``; null and empty texts have 0.
+
+    Texts are counted whole, however long; rows that repeat an id or a text stay rows of their own with equal counts; an
+    empty table gives no rows; other columns, whatever their names, are not looked at.
+    """
     path = path or default_ranks()
     kind = docs.schema[id_col].dataType.simpleString()
 
