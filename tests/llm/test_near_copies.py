@@ -48,6 +48,8 @@ def test_all_pairs_of_jaccard_are_linked(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     got = sorted(x.doc_id for x in simhash.keep_one(docs, words=5, similarity=0.8).collect())
     assert got == sorted({find(i) for i in range(len(rows))})
+    blocks = simhash.keep_one(docs.selectExpr("*", "1 AS hash", "2 AS keep_id", "3 AS row"), words=5, similarity=0.8, block_texts=2, block_chars=4_000)
+    assert sorted(x.doc_id for x in blocks.collect()) == got and blocks.columns == ["doc_id", "text", "hash", "keep_id", "row"]
     assert simhash.keep_one(docs.limit(0), words=5, similarity=0.8).count() == 0
 
 

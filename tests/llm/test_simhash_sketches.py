@@ -1,7 +1,9 @@
 import hashlib
 import random
+import re
 
 import numpy as np
+import pytest
 import xxhash
 
 from tabulon.llm import simhash, sketches
@@ -73,6 +75,20 @@ def test_balls_find_every_pair():
         assert labels(*(np.concatenate([f[k] for f in found]) for k in (0, 1))) == labels(x[i], x[j])
 
 
+def test_buckets_stay_bounded():
+    masks = simhash.linear_hash(simhash.flip_masks(2))
+    for n in (10**3, 2 * 10**6, 16 * 10**6, 10**9, 50 * 10**9):
+        bits = simhash.bucket_bits(n)
+        rows = len(np.unique(masks & (1 << bits) - 1))
+        assert n * rows >> bits <= simhash.SPLIT_AT and rows <= 1 + bits + bits * (bits - 1) // 2
+
+
+def test_hubs_are_dealt(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(i, i + 5000) for i in range(1, 3000)]
+    got = {r.node: r.root for r in simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for e in edges for i in e if i}
+
+
 def test_long_chains(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(1000, 1001), (5, 5)], "a long, b long")
     got = {r.node: r.root for r in simhash.components(edges).collect()}
@@ -103,13 +119,56 @@ def test_sketches_merge(spark):
 
 def test_next_documents(spark, monkeypatch):
     r = random.Random(2)
-    monkeypatch.setattr(sketches, "ORDERED_AT_ONCE", 50)
     monkeypatch.setattr(sketches, "FEW", 20)
-    rows = [(i, "".join(r.choice("ab cdé ") for _ in range(r.randint(0, 40)))) for i in r.sample(range(-(10**6), 10**6), 1500)] + [(None, "null id"), (2 * 10**6, "aa"), (2 * 10**6, "ab")]
-    got = [(x.doc_id, x.text, x.next_t) for x in sketches.with_next(spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS b", "2 AS last"), {"t": sketches.F.col("text")}).collect()]
-    rows.sort(key=lambda x: (-(x[0] if x[0] is not None else -1 << 63), x[1]))
+    rows = [(i, "".join(r.choice("ab cdé ") for _ in range(r.randint(0, 40)))) for i in r.sample(range(-(10**6), 10**6), 1500)] + [(None, "null id"), (2 * 10**6, "aa"), (2 * 10**6, "ab"), (1 << 62, "far")]
+    rows += [(77, f"text {i}") for i in range(300)]  # an id that fills whole ranges
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS b", "2 AS last")
+    got = [(x.doc_id, x.text, x.next_t) for x in sketches.with_next(docs, {"t": sketches.F.col("text")}).collect()]
+    hashes = {x.text: x.h for x in docs.select("text", sketches.F.xxhash64("text").alias("h")).collect()}
+    rows.sort(key=lambda x: (-(x[0] if x[0] is not None else -1 << 63), hashes[x[1]]))
     key = lambda x: (x[0] is None, x[0] or 0, x[1])
     assert sorted(got, key=key) == sorted([(a[0], a[1], b[1]) for a, b in zip(rows, rows[1:] + rows[:1], strict=True)], key=key)
+    with pytest.raises(TypeError):
+        sketches.with_next(spark.createDataFrame([("a", "b")], "doc_id string, text string"), {})
+
+
+def test_ranges_are_even(spark):
+    F = sketches.F
+    ids = spark.range(2000).select(F.col("id").alias("doc_id")).union(spark.createDataFrame([(1 << 61,)], "doc_id long"))
+    cuts = ids.agg(F.percentile_approx("doc_id", [i / 8 for i in range(1, 8)], 1000)).first()[0]
+    n = [x["count"] for x in ids.groupBy(sketches._range_of(F.col("doc_id"), F.xxhash64("doc_id"), cuts)).count().collect()]
+    assert len(n) == 8 and max(n) <= 252
+
+
+def sketch_of(spark, text):
+    """A bottom-k sketch by brute force; only the hash of a list of words is Spark's."""
+    w = re.split(r"[ \t\n\x0b\x0c\r]+", text.lower())
+    w = [x for x in w if x]
+    shingles = [w[i : i + 5] for i in range(max(1, len(w) - 4))] if w else []
+    if not shingles:
+        return []
+    got = spark.createDataFrame([(s,) for s in shingles], "s array<string>").select(sketches.F.xxhash64("s").alias("h")).collect()
+    return sorted({x.h for x in got})[:128]
+
+
+def test_op10_by_brute_force(spark):
+    rows = [(5, "one two three four five six seven " * 4), (4, None), (3, "A b\tc"), (3, "A b\tc"), (2, ""), (None, "seven six five four three two one " * 60 + "".join(f"w{i} " for i in range(300)))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS body", "2 AS sketch", "3 AS edited")
+    got = sorted(sketches.edited_fingerprints(docs).collect(), key=lambda x: (x.doc_id is None, -(x.doc_id or 0)))
+    texts = [t or "" for _, t in rows]
+    print_of = lambda s: "".join(f"{h & (1 << 64) - 1:016x}" for h in s)
+
+    def alike(a, b):
+        union = sorted({*a, *b})[:128]
+        return sum(h in a and h in b for h in union) / len(union) if union else 1.0
+
+    for x, t, n in zip(got, texts, texts[1:] + texts[:1], strict=True):
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + n[:cut]
+        a, b, c = (sketch_of(spark, s) for s in (t, edited, n))
+        assert (x.n_chars, x.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        assert (x.fingerprint, x.edited_fingerprint) == (print_of(a), print_of(b)) and abs(x.near_edited - alike(a, b)) < 1e-12 and abs(x.near_next - alike(a, c)) < 1e-12
+    assert sketches.edited_fingerprints(docs.limit(0)).count() == 0
 
 
 def test_op10_on_a_small_table(spark):
@@ -118,4 +177,4 @@ def test_op10_on_a_small_table(spark):
     got = {r.doc_id: r for r in sketches.op10_fingerprints(spark, sf).collect()}
     for (i, x), (_, y) in zip(docs, docs[1:] + docs[:1], strict=True):
         n = len(x) // 3
-        assert got[i].edited_sha256 == hashlib.sha256((x[: len(x) - n] + y[:n]).encode()).hexdigest() and got[i].n_chars == len(x) and 0 <= got[i].near_next <= got[i].near_edited <= 1
+        assert got[i].edited_sha256 == hashlib.sha256((x[: len(x) - n] + y[:n]).encode()).hexdigest() and got[i].n_chars == len(x) and 0 <= got[i].near_next <= 1 and 0 <= got[i].near_edited <= 1
