@@ -79,19 +79,22 @@ def lookup(rows: DataFrame, values: DataFrame, keys: list[str], n: int, times: s
     """``rows`` with the other columns of ``values`` by equal ``keys`` (nulls where there are none).
 
     ``values`` has one row a key, and in ``times`` how many of the ``n`` rows have the key; ``spread``: what tells rows of one
-    key apart. The values of hot keys are broadcast; their rows need no match after that and are dealt by a salt, so that no
-    task of the join has more than a share of them. A null key has no values.
+    key apart. Values of hot keys, if there are any, are broadcast; their rows need no match after that and are dealt by a
+    salt, so that no task of the join has more than a share of them. A null key has no values.
     """
     bound = max(HOT_LEAST, n // HOT_KEYS)
+    values = stored(values, "values")
     others = [c for c in values.columns if c not in (*keys, times)]
     named = values.select(*(F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)), F.struct(*others).alias("__v"), F.col(times).alias("__times"))
-    hot = named.where(F.col("__times") > bound).withColumnRenamed("__v", "__hot").drop("__times")
-    cold = named.where(F.col("__times") <= bound).drop("__times").withColumn("__s", F.lit(0))
     same = lambda a, b: [a[k] == b[f"__k{i}"] for i, k in enumerate(keys)]
-    out = rows.join(F.broadcast(hot), same(rows, hot), "left").drop(*(f"__k{i}" for i in range(len(keys))))
-    out = out.withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int") + 1).otherwise(0))
-    out = out.join(cold, [*same(out, cold), F.col("__salt") == F.col("__s")], "left")
-    got = F.coalesce("__hot", "__v")
+    if named.where(F.col("__times") > bound).isEmpty():
+        out, got = rows.join(named, same(rows, named), "left"), F.col("__v")
+    else:
+        hot = named.where(F.col("__times") > bound).withColumnRenamed("__v", "__hot").drop("__times")
+        cold = named.where(F.col("__times") <= bound).drop("__times").withColumn("__s", F.lit(0))
+        out = rows.join(F.broadcast(hot), same(rows, hot), "left").drop(*(f"__k{i}" for i in range(len(keys))))
+        out = out.withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(F.xxhash64(spread), F.lit(SALTS)).cast("int") + 1).otherwise(0))
+        out, got = out.join(cold, [*same(out, cold), F.col("__salt") == F.col("__s")], "left"), F.coalesce("__hot", "__v")
     return out.select(*(F.col(f"`{c}`") for c in rows.columns), *(got.getField(c).alias(c) for c in others))
 
 

@@ -191,9 +191,9 @@ def fuse(evidence: DataFrame, model: TextModel, levels: list[str], declared: lis
         wide = counts
         for depth in range(1, len(levels)):  # of all levels above the narrowest, carried by the narrowest one's rows
             at = counts.groupBy(*places[:depth]).agg(sums(lambda i: F.col("n")[i]).alias(f"n_{depth}"), F.count(F.lit(1)).alias("hosts"))
-            wide = lookup(wide, stored(at, "places"), places[:depth], n_rows, "hosts", F.col(places[-1]))
+            wide = lookup(wide, at, places[:depth], n_rows, "hosts", F.col(places[-1]))
         seen = [*(f"n_{depth}" for depth in range(1, len(levels))), "n"]
-        out = lookup(rows, stored(wide, "wide"), places, n_rows, "times", spread)
+        out = lookup(rows, wide, places, n_rows, "times", spread)
     left = [F.greatest(F.lit(everywhere[i]) - F.col("p")[i], F.lit(0.0)) + 1.0 for i in k]
     out = out.withColumn("place_prior", F.array(*(x / sum(left[1:], left[0]) for x in left)))
     for j, c in enumerate(seen if levels else []):  # level by level, each smoothed towards the one above
@@ -202,7 +202,6 @@ def fuse(evidence: DataFrame, model: TextModel, levels: list[str], declared: lis
     score = [F.col("ll")[i] + F.log(F.col(place)[i]) for i in k]
     for d in declared:
         said = rows.where(F.col(d).isNotNull()).groupBy(F.col(d).alias(f"said_{d}")).agg(sums(lambda i: F.col("p")[i]).alias(f"by_{d}"), F.count(F.lit(1)).alias("times"))
-        said = stored(said, "declared")
         out = lookup(out.withColumn(f"said_{d}", F.col(d)), said, [f"said_{d}"], n_rows, "times", spread)
         by = smoothed(without(F.col(f"by_{d}")), F.col("place_prior"))
         score = [s + F.coalesce(F.log(by[i] / F.col("place_prior")[i]), F.lit(0.0)) for i, s in enumerate(score)]

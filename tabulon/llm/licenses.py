@@ -13,7 +13,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._base import load, lookup, stored
+from ._base import load, lookup
 
 #: Known texts up to which their digests are broadcast; beyond, the join is left to the optimiser.
 BROADCAST_ENTRIES = 20_000
@@ -138,7 +138,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     else:
         rows = rows.withColumn("h", F.xxhash64("whole"))
         found = rows.dropDuplicates(["h"]).select("h", F.explode(units).alias("known_digest")).join(of_notices, "known_digest").groupBy("h").agg(F.collect_list("license_id").alias("found"))
-        found = stored(found.join(rows.groupBy("h").agg(F.count(F.lit(1)).alias("times")), "h"), "notices")
+        found = found.join(rows.groupBy("h").agg(F.count(F.lit(1)).alias("times")), "h")
         rows = rows.select("id", "h", F.sha2(canonical(F.col("whole")), 256).alias("text_digest"))
         rows = lookup(rows, found, ["h"], rows.count(), "times", F.col("id"))
     of_texts = F.broadcast(of_texts) if len(TEXTS if known is None else known) <= BROADCAST_ENTRIES else of_texts

@@ -226,11 +226,11 @@ def components(edges: DataFrame) -> DataFrame:
     def star(e: DataFrame, large: bool, n: int) -> DataFrame:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         near = both if large else both.where("v < u")
-        least = near.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("times"))
+        least = stored(near.groupBy("u").agg(F.least("u", F.min("v")).alias("m"), F.count(F.lit(1)).alias("times")), "least")
         moved = lookup(near, least, ["u"], n, "times", F.col("v"))  # a hub's links are dealt
         if large:
-            return moved.where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        return moved.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct()
+            return stored(moved.where("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "edges")
+        return stored(moved.where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
 
     now = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u != v").distinct(), "edges")
     seen = None
@@ -239,7 +239,7 @@ def components(edges: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
         seen = state
-        now = stored(star(star(now, True, 2 * state[0]), False, 2 * state[0]), "edges")
+        now = star(star(now, True, 2 * state[0]), False, 2 * state[0])
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, words: int = SHINGLE) -> DataFrame:
@@ -254,7 +254,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rooted = stored(nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "least", "times", F.coalesce("root", "fp").alias("root")), "rooted")
     by_root = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("fps"))
     n = prints.count()
-    classes = stored(lookup(rooted.select("fp", "times", "root"), by_root, ["root"], n, "fps", F.col("fp")).drop("root"), "classes")
+    classes = lookup(rooted.select("fp", "times", "root"), by_root, ["root"], n, "fps", F.col("fp")).drop("root")
     out = lookup(prints, classes, ["fp"], n, "times", F.col("id"))  # one text may hold a third of all rows
     return out.select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -318,12 +318,11 @@ def _rows_of(docs: DataFrame) -> DataFrame:
     return rows.withColumn("h", F.xxhash64("t"))
 
 
-def similar_links(docs: DataFrame, prints: DataFrame, joined: DataFrame, similarity: float, words: int, block_texts: int = BLOCK_TEXTS, block_chars: int = BLOCK_CHARS) -> DataFrame:
+def similar_links(docs: DataFrame, prints: DataFrame, similarity: float, words: int, block_texts: int = BLOCK_TEXTS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(a, b): links between fingerprints of texts whose shingle sets have Jaccard >= ``similarity``.
 
     Texts that share a min-hash band are candidates; what they connect is compared by exact Jaccard: sets of a block in one
-    task, larger ones by pairs of blocks, so that a task holds two blocks however large a set is. Connected sets that
-    ``joined`` (fp, root: what is linked already) holds together are left out.
+    task, larger ones by pairs of blocks, so that a task holds two blocks however large a set is.
     """
     n, bits = prints.count(), BUCKET_BITS
     while n >> (bits - BUCKET_BITS) > SPLIT_AT and bits < HASH_BITS:
@@ -368,12 +367,12 @@ def similar_links(docs: DataFrame, prints: DataFrame, joined: DataFrame, similar
     shared = _rows_of(docs).select("t").mapInArrow(deal, "bucket int, key long, fp long")
     candidates = components(shared.groupBy("bucket").applyInArrow(meet, "a long, b long"))
     may = candidates.select(F.col("node").alias("fp"), F.col("root").alias("may"))
-    groups = joined.join(may, "fp", "left").select("fp", "root", F.coalesce("may", "fp").alias("may"))
+    may = may.union(may.select(F.col("may").alias("fp"), "may").distinct())
     texts = prints.groupBy("h", "fp").agg(F.min("id").alias("of_id"), F.first("chars").alias("chars")).withColumnRenamed("h", "of_h")  # a row of each text
-    texts = stored(texts.join(groups, "fp"), "grouped")
-    sets = texts.groupBy("may").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.count(F.lit(1)).alias("times"), F.sum("chars").alias("chars")).where("x != y")
-    sets = stored(sets.select("may", "times", F.greatest(F.ceil(F.col("times") / block_texts), F.ceil(F.col("chars") / block_chars)).cast("int").alias("blocks")), "sets")
-    wanted = lookup(texts.select("of_id", "of_h", "fp", "may"), sets, ["may"], n, "times", F.col("of_h")).where("blocks is not null")
+    texts = stored(texts.join(may, "fp"), "grouped")
+    sets = texts.groupBy("may").agg(F.count(F.lit(1)).alias("times"), F.sum("chars").alias("chars"))
+    sets = sets.select("may", "times", F.greatest(F.ceil(F.col("times") / block_texts), F.ceil(F.col("chars") / block_chars)).cast("int").alias("blocks"))
+    wanted = lookup(texts.select("of_id", "of_h", "fp", "may"), sets, ["may"], n, "times", F.col("of_h"))
     wanted = stored(wanted.withColumn("block", F.pmod(F.xxhash64("of_h"), F.col("blocks")).cast("int")), "wanted")
     rows = _rows_of(docs)
     rows = rows.join(wanted.hint("shuffle_hash"), rows["id"].eqNullSafe(wanted["of_id"]) & (rows["h"] == wanted["of_h"]))
@@ -395,13 +394,10 @@ def keep_one(docs: DataFrame, radius: int = RADIUS, words: int = SHINGLE, simila
     key = F.struct("id", "h", F.char_length("t").alias("chars"))
     prints = stored(fingerprints(rows.select(key.alias("k"), "t"), "k", "t", words).select("id.id", "id.h", "id.chars", "fp"), "prints")
     fps = stored(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("times")), "nodes")
-    near = components(links(fps.select("fp"), radius)).withColumnRenamed("node", "fp")
-    joined = stored(fps.join(near, "fp", "left").select("fp", "times", F.coalesce("root", "fp").alias("root")), "joined")
-    roots = joined
+    near = links(fps.select("fp"), radius)
     if similarity is not None:
-        both = joined.select(F.col("fp").alias("a"), F.col("root").alias("b")).union(similar_links(docs, prints, joined.drop("times"), similarity, words, **blocks))
-        linked = components(both).withColumnRenamed("node", "fp")
-        roots = stored(joined.drop("root").join(linked, "fp", "left").select("fp", "times", F.coalesce("root", "fp").alias("root")), "roots")
+        near = near.union(similar_links(docs, prints, similarity, words, **blocks))
+    roots = fps.join(components(near).withColumnRenamed("node", "fp"), "fp", "left").select("fp", "times", F.coalesce("root", "fp").alias("root"))
     rooted = stored(lookup(prints.select("id", "h", "fp"), roots, ["fp"], prints.count(), "times", F.col("h")).select("id", "h", "root"), "rooted")
     keep = stored(rooted.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("k")).select(F.col("k.id").alias("keep_id"), F.col("k.h").alias("keep_h")), "keep")
     here = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit("")))

@@ -249,7 +249,7 @@ def convert(spark: SparkSession, legacy: str, path: str, id_type: str = "long",
     index = stored(legacy_index(spark, legacy), "index")
     big = index.where(F.col("n") >= revisit_bytes)
     best = big.groupBy("sha1").agg(F.max(F.col("key").cast(id_type)).cast("string").alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1 and first is not null")
-    of = lookup(big, stored(best, "repeated"), ["sha1"], index.count(), "times", F.concat_ws("|", "path", "key"))
+    of = lookup(big, best, ["sha1"], index.count(), "times", F.concat_ws("|", "path", "key"))
     of = of.where(F.col("first").isNotNull() & ~F.col("key").eqNullSafe(F.col("first"))).select("path", "sha1", "first").distinct()
     revisits = of.groupBy(F.col("path").alias("of")).agg(F.map_from_entries(F.collect_list(F.struct("sha1", "first"))).alias("first"))
     files = _contents(spark, legacy)
@@ -305,7 +305,7 @@ def read_archives(spark: SparkSession, path: str, id_type: str = "long") -> Data
     records = stored(files.mapInArrow(parse, "key string, record_type string, record_id string, refers_to_id string, refers_to string, block_bytes long, payload_bytes long, payload_digest string"), "records")
     referred = records.where("record_type = 'revisit'").groupBy("refers_to_id").agg(F.count(F.lit(1)).alias("times"))
     sizes = records.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_to_id")).agg(F.max("payload_bytes").alias("size")).join(referred, "refers_to_id")
-    out = lookup(records, stored(sizes, "sizes"), ["refers_to_id"], records.count(), "times", F.col("record_id"))
+    out = lookup(records, sizes, ["refers_to_id"], records.count(), "times", F.col("record_id"))
     return out.select(F.col("key").cast(id_type), "record_type", "record_id", "refers_to_id", F.col("refers_to").cast(id_type), "block_bytes", F.coalesce("payload_bytes", "size").alias("payload_bytes"), "payload_digest")
 
 
