@@ -73,12 +73,13 @@ _ENTITIES = "array_distinct(concat(" + ", ".join(f"transform({k}, v -> concat('{
 _BASE = "concat(" + ", ".join(f"transform({k}, v -> named_struct('start', v.start, 'end', v.end))" for k in PATTERNS) + ")"
 
 
-def found_entities(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, h, email, ip, card, phone, t, words) per row of ``docs``; t: the text if it holds an entity; words: distinct terms."""
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
-    rows = rows.select("id", "t", F.xxhash64("t").alias("h"), *(base_spans("t", k).alias(k) for k in PATTERNS))
+def distinct_texts(docs: DataFrame, text_col: str) -> DataFrame:
+    """(h, email, ip, card, phone, t, words, times) per distinct text; h: xxhash64 of it; t: the text if it holds an entity; words: distinct terms; times: rows."""
+    rows = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("t"))
+    rows = rows.groupBy(F.xxhash64("t").alias("h")).agg(F.first("t").alias("t"), F.count(F.lit(1)).alias("times"))
+    rows = rows.select("h", "t", "times", *(base_spans("t", k).alias(k) for k in PATTERNS))
     held = F.expr("case when size(email) + size(ip) + size(card) + size(phone) > 0 then t end").alias("t")
-    return rows.select("id", "h", *PATTERNS, held, F.expr(f"array_distinct(transform(regexp_extract_all(t, r'{WORD}', 0), w -> lower(w)))").alias("words"))
+    return rows.select("h", *PATTERNS, held, F.expr(f"array_distinct(transform(regexp_extract_all(t, r'{WORD}', 0), w -> lower(w)))").alias("words"), "times")
 
 
 def disclosing(texts: DataFrame, lean: float = LEAN, generalise: float = GENERALISE) -> DataFrame:
@@ -89,7 +90,7 @@ def disclosing(texts: DataFrame, lean: float = LEAN, generalise: float = GENERAL
     n_texts = texts.count()
     n = F.lit(float(max(1, n_texts)))
     has = stored(texts.where("t is not null").select("h", F.explode(F.expr(_ENTITIES)).alias("entity")), "held")
-    n_entity = stored(has.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).withColumn("times", F.col("n_entity")), "entities")
+    n_entity = has.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity")).withColumn("times", F.col("n_entity"))
     has = lookup(has, n_entity, ["entity"], n_texts, "times", F.col("h"))
     has = stored(has.groupBy("h", F.when(F.col("n_entity") > 1, F.col("entity")).alias("entity")).agg(F.first("n_entity").alias("n_entity")), "holders")
     words = stored(texts.where("t is not null").select("h", F.explode("words").alias("term")), "words")
@@ -97,7 +98,7 @@ def disclosing(texts: DataFrame, lean: float = LEAN, generalise: float = GENERAL
     terms = asked.select("term")
     terms = F.broadcast(terms) if asked.count() <= BROADCAST_TERMS else terms
     n_term = texts.select(F.explode("words").alias("term")).join(terms, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("n_term"))
-    n_term = stored(n_term.join(asked, "term"), "terms")  # times: texts with an entity that have the term
+    n_term = stored(n_term.join(asked, "term"), "counted")  # times: texts with an entity that have the term
     n_words = words.count()
 
     def share(n_both: Column) -> Column:
@@ -110,30 +111,31 @@ def disclosing(texts: DataFrame, lean: float = LEAN, generalise: float = GENERAL
     several = has.where("entity is not null").join(words, "h")
     pairs = several.groupBy("entity", "term").agg(F.count(F.lit(1)).alias("n_both"), F.first("n_entity").alias("n_entity"))
     pairs = pairs.join(n_term.drop("times"), "term").select("entity", "term", "n_both", share(F.col("n_both"))).where(F.col("share") >= generalise)
-    of_pairs = lookup(several.select("h", "entity", "term"), stored(pairs, "pairs"), ["entity", "term"], n_words, "n_both", F.col("h"))
+    of_pairs = lookup(several.select("h", "entity", "term"), pairs, ["entity", "term"], n_words, "n_both", F.col("h"))
     of_pairs = of_pairs.where("share is not null").select("h", "term", "share")
     return single.where(F.col("share") >= generalise).union(of_pairs).groupBy("h", "term").agg(F.max("share").alias("share"))
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lean: float = LEAN, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """(id_col, h, email, ip, card, phone, terms) per row of ``docs``; h: xxhash64 of the text; terms: (start, end, value) value: what stands for the term.
+    """(id_col, h, email, ip, card, phone, terms) per row of ``docs``; h: xxhash64 of the text; terms: (start, end, value), with what stands for the term.
 
     Null counts as empty text. Rows that repeat an id and a text have the same spans; rows are never merged. An empty table
     gives no rows. Only documents that hold an entity can have terms: clean ones stay as they are. Terms inside a base span
     go with it and aren't listed.
     """
-    found = stored(found_entities(docs, id_col, text_col), "entities")
-    texts = stored(found.select("h", *PATTERNS, "t", "words").dropDuplicates(["h"]), "texts")
+    texts = stored(distinct_texts(docs, text_col), "texts")
     reveals = stored(disclosing(texts, lean, generalise), "disclosing")
-    at = texts.where("t is not null").select("h", F.expr(f"inline({_positions('t', WORD)})")).select("h", F.lower("value").alias("term"), F.col("value").alias("word"), "start", "end")
+    held = texts.where("t is not null")
+    at = held.select("h", F.expr(f"inline({_positions('t', WORD)})")).select("h", F.lower("value").alias("term"), F.col("value").alias("word"), "start", "end")
     label = F.when(F.col("share") >= remove, "")
     for pattern, name in CLASSES:
         label = label.when(F.col("word").rlike(pattern), name)
     by_text = at.join(reveals, ["h", "term"]).groupBy("h").agg(F.sort_array(F.collect_list(F.struct("start", "end", label.alias("value")))).alias("terms"))
-    by_text = by_text.join(found.where("t is not null").groupBy("h").agg(F.count(F.lit(1)).alias("times")), "h")
-    out = lookup(found.drop("t", "words"), stored(by_text, "terms"), ["h"], found.count(), "times", F.col("id"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("h"))
+    out = lookup(rows, held.select("h", *PATTERNS, "times").join(by_text, "h", "left"), ["h"], docs.count(), "times", F.col("id"))
+    none = F.expr(f"cast(array() as {_SPAN})")
     outside = F.expr(f"filter(terms, w -> not exists({_BASE}, b -> b.start < w.end and w.start < b.end))")
-    return out.select(F.col("id").alias(id_col), "h", *PATTERNS, F.coalesce(outside, F.expr(f"cast(array() as {_SPAN})")).alias("terms"))
+    return out.select(F.col("id").alias(id_col), "h", *(F.coalesce(k, none).alias(k) for k in PATTERNS), F.coalesce(outside, none).alias("terms"))
 
 
 def sanitised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **how) -> DataFrame:

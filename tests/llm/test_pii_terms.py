@@ -54,7 +54,7 @@ def test_shares_by_brute_force(spark):
 
     F = pii.F
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    found = pii.found_entities(docs, "doc_id", "text").dropDuplicates(["h"])
+    found = pii.distinct_texts(docs, "text")
     hashes = {x.h: x.t for x in docs.select(F.coalesce("text", F.lit("")).alias("t"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()}
     got = {(hashes[x.h], x.term): x.share for x in pii.disclosing(pii.stored(found, "texts"), generalise=0.3).collect()}
     want = {(t, w): max(share(e, w) for e in held[t]) for t in texts if held[t] for w in words[t]}
