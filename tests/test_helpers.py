@@ -51,7 +51,7 @@ def test_table_does_not_depend_on_partitions(spark):
 def test_profile():
     calls = []
     r = profile(lambda: calls.append(1), repeat=3, warmup=2, setup=lambda: calls.append(0), label="x")
-    assert calls == [0, 1] * 5 and r.repeat == 3 and r.wall_ms >= 0 and r.report().startswith("x wall=")
+    assert calls == [0, 1] * 5 and r.repeat == 3 and r.wall_ms >= 0 and r.report().startswith("x, ") and " jobs" in r.report()
     order = []
     got = profile_interleaved(["a", "b"], [lambda: order.append("a"), lambda: order.append("b")], repeat=2, warmup=0)
     assert order == ["a", "b"] * 2 and [g.label for g in got] == ["a", "b"]
@@ -64,7 +64,7 @@ def test_profile():
 
 def test_profile_figures():
     r = ProfileResult("", 0.0, 1.0, 1, None, None, 1)
-    assert math.isnan(r.cpu_wall_ratio) and r.throughput(5) == math.inf and r.report().endswith("pf=n/a")
+    assert math.isnan(r.cpu_wall_ratio) and r.throughput(5) == math.inf and "faults" not in r.report()
     assert ProfileResult("", 500.0, 250.0, 1, 0, 0, 1).throughput(10) == 20
 
 
@@ -78,3 +78,8 @@ def test_thread_watcher():
         assert peak() == before + 1
         stop.set()
         t.join()
+
+
+def test_profile_counts_jobs(spark):
+    assert profile(lambda: spark.range(10).count(), repeat=1, warmup=0).spark.jobs >= 1
+    assert profile(lambda: None, repeat=1, warmup=0).spark.jobs == 0
