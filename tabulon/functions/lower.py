@@ -177,10 +177,6 @@ def _wrap(c: Column, out: np.dtype) -> Column:
     return v - F.lit(low)
 
 
-def _nan_if(test: Column, c: Column) -> Column:
-    return F.when(test, F.lit(NAN)).otherwise(c)
-
-
 def _divide(k: np.dtype, x: Column, y: Column) -> Column:
     x, y = x.cast("double"), y.cast("double")
     by_zero = F.when((x == 0) | F.isnan(x), F.lit(NAN)).when(x > 0, F.lit(INF)).otherwise(F.lit(-INF))

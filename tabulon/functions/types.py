@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 KEY = "np_dtype"
 _TO = {"b1": T.BooleanType(), "i1": T.ByteType(), "i2": T.ShortType(), "i4": T.IntegerType(), "i8": T.LongType(), "u1": T.ShortType(), "u2": T.IntegerType(), "u4": T.LongType(), "u8": T.DecimalType(20, 0), "f2": T.FloatType(), "f4": T.FloatType(), "f8": T.DoubleType()}
-_FROM = {T.BooleanType: "?", T.ByteType: "i1", T.ShortType: "i2", T.IntegerType: "i4", T.LongType: "i8", T.FloatType: "f4", T.DoubleType: "f8", T.StringType: "U", T.BinaryType: "S", T.DateType: "M8[D]", T.TimestampNTZType: "M8[us]", T.TimestampType: "M8[us]", T.DayTimeIntervalType: "m8[us]"}
+_FROM = {T.BooleanType: "?", T.ByteType: "i1", T.ShortType: "i2", T.IntegerType: "i4", T.LongType: "i8", T.FloatType: "f4", T.DoubleType: "f8", T.StringType: "U", T.BinaryType: "S", T.DateType: "M8[D]", T.TimestampNTZType: "M8[us]", T.DayTimeIntervalType: "m8[us]"}
 
 
 def spark_type(dtype: np.dtype) -> T.DataType:
@@ -24,7 +24,7 @@ def spark_type(dtype: np.dtype) -> T.DataType:
 
 
 def numpy_type(field: T.StructField) -> np.dtype:
-    """The dtype a field stands for; TypeError for nested types."""
+    """The dtype a field stands for; TypeError for nested types and for timestamps of a zone."""
     if KEY in (field.metadata or {}):
         return np.dtype(field.metadata[KEY])
     if isinstance(field.dataType, T.DecimalType) and field.dataType.scale == 0 and field.dataType.precision == 20:
@@ -32,7 +32,7 @@ def numpy_type(field: T.StructField) -> np.dtype:
     for kind, name in _FROM.items():
         if isinstance(field.dataType, kind):
             return np.dtype(name)
-    raise TypeError(f"column {field.name!r}: {field.dataType.simpleString()} is nested or unsupported")
+    raise TypeError(f"column {field.name!r}: {field.dataType.simpleString()} is nested, zoned or unsupported")
 
 
 def field(name: str, dtype: np.dtype) -> T.StructField:

@@ -331,23 +331,13 @@ class Frame:
         return formats.save(self, dest, format, **how)
 
     def iter_batches(self, batch_size: Any = None, *, copy: bool = True) -> Iterator[Frame]:
-        """Frames over successive rows, in order; sized by rows or bytes. Partitions stream one after the other."""
-        from ..sources.sizes import batch_rows
+        """Frames over successive rows, in order; sized by rows or bytes. Partitions stream one after the other, as columns."""
+        from ..sources.formats import batches
         from .table import from_memory
 
-        rows = batch_rows(batch_size, self.dtypes)
-        held: list[tuple] = []
-        names = self.columns
-        for row in self._plan(position=True).orderBy("__pos").drop("__pos").toLocalIterator(prefetchPartitions=True):
-            held.append(tuple(row))
-            if len(held) == rows:
-                yield from_memory(self._arrays(names, held)).edit()
-                held = []
-        if held:
-            yield from_memory(self._arrays(names, held)).edit()
-
-    def _arrays(self, names: list[str], held: list[tuple]) -> dict[str, np.ndarray]:
-        return {n: np.array([r[i] for r in held], None if t.kind in "SU" else t) for i, (n, t) in enumerate(self.dtypes.items())}
+        for t in batches(self, batch_size):
+            if len(t):
+                yield from_memory(numpy_of(t, self.dtypes)).edit()
 
     def write(self, path: str, *, memory_budget: Any = None, mode: str = "create") -> Table:
         from ..sources import formats

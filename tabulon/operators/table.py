@@ -1,7 +1,8 @@
 """Tables over files in order: lazy column and row selection, predicates, materialisers.
 
 A table is a DataFrame and, only where a position is asked for, a dense global row id: in-file row index plus the file's
-offset, from a one-pass count of the files. Nothing that doesn't need positions pays for them.
+offset, from the files' row counts. Positions that are known pick the files that are read. Nothing that doesn't need
+positions pays for them.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.storagelevel import StorageLevel
 
 from ..functions.expr import Col, Expr, as_expr, col
 from ..functions.lower import lower
@@ -25,6 +27,8 @@ from . import rows as R
 ROW = "__row_id"
 #: Index rows up to which a positional selection is broadcast (16 bytes each).
 BROADCAST_ROWS = 2_000_000
+#: Files up to which offsets are broadcast, and up to which a position range names the files that it meets.
+BROADCAST_FILES, NAMED_FILES = 100_000, 1_000
 
 
 def session() -> SparkSession:
@@ -93,16 +97,16 @@ def numpy_of(table: pa.Table, dtypes: dict[str, np.dtype]) -> dict[str, np.ndarr
     out = {}
     for n, t in dtypes.items():
         c = table.column(n)
+        if c.null_count and t.kind in "biuSU":
+            raise TypeError(f"column {n!r} has nulls, for which {t} has no value")
         if t.kind in "SU":
-            fill = b"" if t.kind == "S" else ""
-            out[n] = np.array([fill if x is None else x for x in c.to_pylist()], dtype=t if t.itemsize or not len(c) else None)
+            out[n] = np.array(c.to_pylist(), dtype=t if t.itemsize or not len(c) else None)
             if not len(c):
                 out[n] = out[n].astype(t)
         elif t == np.dtype("u8"):
             out[n] = np.array([int(x) for x in c.to_pylist()], t)
         else:
-            v = c.to_numpy() if c.null_count == 0 or t.kind in "fMm" else c.fill_null(False if t.kind == "b" else 0).to_numpy()
-            out[n] = np.asarray(v).astype(t)
+            out[n] = np.asarray(c.to_numpy()).astype(t)
     return out
 
 
@@ -229,14 +233,14 @@ class Selectable:
             if not len(r):
                 return t._with_rows().where(F.lit(False)).withColumn("__pos", F.col(ROW))
             low, high, step = min(r[0], r[-1]), max(r[0], r[-1]), abs(r.step)
-            out = t._with_rows().where(F.col(ROW).between(low, high))
+            out = t._with_rows(np.array([low, high]), True).where(F.col(ROW).between(low, high))
             if step > 1:
                 out = out.where((F.col(ROW) - low) % step == 0)
             return out.withColumn("__pos", F.col(ROW) if r.step > 0 else -F.col(ROW))
         index = t.spark.createDataFrame(pa.table({"__pos": np.arange(len(self._rows)), "__at": self._rows.astype(np.int64)}))
         if len(self._rows) <= BROADCAST_ROWS:
             index = F.broadcast(index)
-        out = t._with_rows()
+        out = t._with_rows(self._rows)
         return out.join(index, out[ROW] == index["__at"]).drop("__at")
 
     @property
@@ -375,7 +379,7 @@ class Table(Selectable):
     _single = False
 
     def __init__(self, df: DataFrame, dtypes: dict[str, np.dtype], files: list[str] | None = None, rows: DataFrame | None = None):
-        self._df, self._dtypes, self._files, self._row_df, self._n = df, dtypes, files or [], rows, None
+        self._df, self._dtypes, self._files, self._row_df, self._n, self._places = df, dtypes, files or [], rows, None, None
         self._names, self._table, self.closed = list(dtypes), self, False
 
     @property
@@ -389,7 +393,7 @@ class Table(Selectable):
     def _count(self) -> int:
         self._open()
         if self._n is None:
-            self._n = self._df.count()
+            self._n = sum(n for _, _, n in self._pieces()) if self._files and self._row_df is None else self._df.count()
         return self._n
 
     def _open(self) -> None:
@@ -406,22 +410,43 @@ class Table(Selectable):
     def __exit__(self, *_: Any) -> None:
         self.close()
 
-    def _with_rows(self) -> DataFrame:
-        """The table's rows with their global position."""
-        self._open()
-        if self._row_df is None:
-            raw = self._df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__index"))
-            sizes = {r["__path"]: r["n"] for r in raw.groupBy("__path").agg((F.max("__index") + 1).alias("n")).collect()}
-            known = {_plain(p): (p, n) for p, n in sizes.items()}
-            starts, at = [], 0
+    def _pieces(self) -> list[tuple[str, int, int]]:
+        """(path, first row, rows) of each file, in order; counting rows by file reads footers, no columns."""
+        if self._places is None:
+            rows = {r["p"]: r["n"] for r in self._df.groupBy(F.col("_metadata.file_path").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
+            known = {_plain(p): (p, n) for p, n in rows.items()}
+            self._places, at = [], 0
             for f in self._files:
                 mine = [known[_plain(f)]] if _plain(f) in known else sorted((v for k, v in known.items() if k.startswith(_plain(f).rstrip("/") + "/")), key=lambda v: paths.natural(v[0]))
                 for p, n in mine:
-                    starts.append((p, at))
+                    self._places.append((p, at, n))
                     at += n
-            offsets = self.spark.createDataFrame(pa.table({"__of": pa.array([p for p, _ in starts], pa.string()), "__start": pa.array([s for _, s in starts], pa.int64())}))
-            self._row_df = raw.join(F.broadcast(offsets), F.col("__path") == F.col("__of")).withColumn(ROW, F.col("__start") + F.col("__index")).drop("__path", "__index", "__of", "__start")
-        return self._row_df
+        return self._places
+
+    def _with_rows(self, asked: np.ndarray | None = None, between: bool = False) -> DataFrame:
+        """The table's rows with their global position: all, or those of the files that the positions ``asked`` (or what lies ``between`` two) meet."""
+        self._open()
+        if self._row_df is None and not self._files:
+            self._row_df = in_order(self._df)
+        if self._row_df is not None:
+            return self._row_df
+        pieces = self._pieces()
+        if asked is not None and len(asked):
+            starts = np.array([at for _, at, _ in pieces])
+            hit = np.searchsorted(starts, asked, "right") - 1
+            met = np.arange(hit.min(), hit.max() + 1) if between else np.unique(hit)
+            pieces = [pieces[i] for i in met] if len(met) <= NAMED_FILES else pieces
+        raw = self._df.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__index"))
+        if len(pieces) < len(self._pieces()):
+            raw = raw.where(F.col("_metadata.file_path").isin([p for p, _, _ in pieces]))
+        if len(pieces) == 1:
+            return raw.withColumn(ROW, F.col("__index") + F.lit(pieces[0][1])).drop("__path", "__index")
+        offsets = self.spark.createDataFrame(pa.table({"__of": pa.array([p for p, _, _ in pieces], pa.string()), "__start": pa.array([s for _, s, _ in pieces], pa.int64())}))
+        offsets = F.broadcast(offsets) if len(pieces) <= BROADCAST_FILES else offsets
+        out = raw.join(offsets, F.col("__path") == F.col("__of")).withColumn(ROW, F.col("__start") + F.col("__index")).drop("__path", "__index", "__of", "__start")
+        if len(pieces) == len(self._pieces()):
+            self._row_df = out
+        return out
 
     def append(self, source: Any, on_mismatch: str = "strict") -> Table:
         """The table grown in place by another one; unchanged if the schemas don't fit."""
@@ -441,7 +466,7 @@ def _plain(path: str) -> str:
 
 
 def table_of(df: DataFrame, files: list[str] | None = None) -> Table:
-    """A table over a DataFrame; without files its order is that of ``__row_id``, made once if it has none."""
+    """A table over a DataFrame; without files its order is that of ``__row_id``, or its own if it has none (see ``in_order``)."""
     dtypes = {f.name: numpy_type(f) for f in df.schema if f.name != ROW}
     rows = df if ROW in df.columns else None
     return Table(df.drop(ROW), dtypes, files, rows)
@@ -509,12 +534,19 @@ def union(parts: list[Table], on_mismatch: str = "strict") -> Table:
     return Table(plain, names, [f for p in parts for f in p._files], numbered)
 
 
-def renumbered(df: DataFrame, order: str) -> DataFrame:
-    """``df`` with dense ``__row_id`` by ``order``: rows are dealt by range, numbered inside and moved by the counts before."""
-    dealt = df.repartitionByRange(F.col(order)).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id())
-    inside = dealt.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(order)))
-    sizes = dealt.groupBy("__part").count().withColumn("__before", F.coalesce(F.sum("count").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    return inside.join(F.broadcast(sizes.select("__part", "__before")), "__part").withColumn(ROW, F.col("__before") + F.col("__in") - 1).drop("__part", "__in", "__before")
+def in_order(df: DataFrame) -> DataFrame:
+    """``df`` with dense ``__row_id`` in its own order: that of its partitions, and of rows in them.
+
+    A plan with a shuffle may deal rows otherwise on each run, so its result is kept (in memory and on disk) once numbered.
+    """
+    placed = df.withColumn("__at", F.monotonically_increasing_id())
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        placed = placed.persist(StorageLevel.MEMORY_AND_DISK)
+    part, inside = F.call_function("shiftright", "__at", F.lit(33)).cast("int"), F.col("__at") % (1 << 33)
+    sizes = placed.groupBy(part.alias("__part")).agg(F.count(F.lit(1)).alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select("__part", before.alias("__before"))  # a row a partition
+    return placed.withColumn("__in", part).join(F.broadcast(sizes), F.col("__in") == F.col("__part")).withColumn(ROW, F.col("__before") + inside).drop("__at", "__in", "__part", "__before")
 
 
 __all__ = ["Table", "View", "as_expr", "from_memory", "open_table", "table_of", "union", "Col"]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.types import KEY, field
+from ..functions.types import KEY
 from ..operators.table import ROW, Table, columns_of, from_memory, numpy_of, open_table, session, typed, union
 from . import paths
 
@@ -89,12 +89,8 @@ def as_source(data: Any) -> Any:
     return open_table(data) if isinstance(data, (DataFrame, str, os.PathLike)) else from_memory(data)
 
 
-def _fields(source: Any) -> list:
-    return [field(n, t) for n, t in source.dtypes.items()]
-
-
 def _publish(source: Any, path: str) -> None:
-    """The rows as Parquet with a dense row id, sorted by it within files: position ranges prune row groups later."""
+    """The rows as Parquet files in order of position, written by executors: a range of positions meets few of them."""
     if not source.columns:
         raise ValueError("no columns to write")
     ordered = _ordered(source)
@@ -131,20 +127,44 @@ def save(source: Any, dest: Any, format: str | None = None, **how: Any) -> str:
 
 
 def batches(source: Any, batch_size: Any = None) -> Iterator[pa.Table]:
-    """Ordered Arrow tables; an empty selection gives one typed empty table."""
+    """Ordered Arrow tables; an empty selection gives one typed empty table. Columns travel as such, a partition after the other."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
     from .sizes import batch_rows
 
-    rows, ordered = batch_rows(batch_size, source.dtypes), _ordered(source).orderBy("__pos").drop("__pos")
-    from pyspark.sql.pandas.types import to_arrow_schema
+    def pack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in parts:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, b.schema) as w:
+                w.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["part"])
 
+    rows, ordered = batch_rows(batch_size, source.dtypes), _ordered(source).orderBy("__pos").drop("__pos")
     schema, held, some = to_arrow_schema(ordered.schema), [], False
-    for r in ordered.toLocalIterator(prefetchPartitions=True):
-        held.append(r.asDict())
-        if len(held) == rows:
-            yield pa.Table.from_pylist(held, schema)
-            held, some = [], True
+    for r in ordered.mapInArrow(pack, "part binary").toLocalIterator(prefetchPartitions=True):
+        held.append(pa.ipc.open_stream(r.part).read_all().cast(schema))
+        while sum(map(len, held)) >= rows:
+            whole = pa.concat_tables(held)
+            yield whole.slice(0, rows).combine_chunks()
+            held, some = [whole.slice(rows)] if len(whole) > rows else [], True
     if held or not some:
-        yield pa.Table.from_pylist(held, schema)
+        yield pa.concat_tables(held).combine_chunks() if held else schema.empty_table()
+
+
+def without_nulls(t: Table) -> Table:
+    """``t``, checked in one aggregation: a column of nulls only becomes NaN, one with some nulls is a TypeError."""
+    foreign = [f.name for f in t._df.schema if KEY not in (f.metadata or {})]
+    if not foreign:
+        return t
+    n, *nulls = t._df.agg(F.count(F.lit(1)), *(F.count_if(F.col(f"`{c}`").isNull()) for c in foreign)).first()
+    if some := [c for c, k in zip(foreign, nulls, strict=True) if 0 < k < n]:
+        raise TypeError(f"column {some[0]!r} has nulls")
+    gone = {c for c, k in zip(foreign, nulls, strict=True) if k and k == n}
+    if not gone:
+        return t
+    made = lambda c: F.lit(float("nan")).alias(c) if c in gone else F.col(f"`{c}`")
+    kinds = {c: np.dtype("f8") if c in gone else k for c, k in t._dtypes.items()}
+    return Table(t._df.select(*map(made, kinds)), kinds, None, t._with_rows().select(*map(made, kinds), ROW))
 
 
 class Parquet(DataFormat):
@@ -166,7 +186,8 @@ class Parquet(DataFormat):
 
     def read(self, path: str, columns: list[str] | None = None, **how: Any) -> Table:
         out = open_table(path, **how)
-        return out if columns is None else Table(out._df.select(*columns), {n: out._dtypes[n] for n in columns}, out._files)
+        out = out if columns is None else Table(out._df.select(*columns), {n: out._dtypes[n] for n in columns}, out._files)
+        return without_nulls(out)
 
 
 class Feather(DataFormat):
