@@ -147,6 +147,9 @@ class _Lowering:
     def python(self, func: Callable, args: tuple[Expr, ...], out: np.dtype, declared: bool) -> Column:
         kinds = [np.asarray(a.value).dtype if isinstance(a, Lit) else probe(a, self.dtypes) for a in args]
         out = _storable(out)
+        # text is as long as it is: widths of empty arrays say nothing
+        kinds = [k.kind if k.kind in "SU" else k for k in kinds]
+        want = out.kind if out.kind in "SU" else out
 
         # refers to nothing of this package: workers need not have it
         def call(*series: pd.Series) -> pd.Series:
@@ -156,9 +159,9 @@ class _Lowering:
                 raise ValueError(f"the function returned shape {got.shape} for {len(series[0])} rows")
             if got.dtype.kind == "O":
                 raise TypeError("the function returned objects")
-            if not declared and got.dtype != out and got.dtype.str[1:] != "f2":
+            if not declared and (got.dtype.kind if out.kind in "SU" else got.dtype) != want and got.dtype.str[1:] != "f2":
                 raise ValueError(f"the function returned {got.dtype}, on empty arrays {out}")
-            return pd.Series(got.astype(out).astype(object) if out.kind in "SU" else got.astype(out))
+            return pd.Series(got.astype(want).astype(object) if out.kind in "SU" else got.astype(want))
 
         return F.pandas_udf(call, spark_type(out))(*(self.typed(a) if not isinstance(a, Lit) else self.raw(a) for a in args))
 

@@ -3,7 +3,7 @@ import os
 import duckdb
 import pytest
 
-from tabulon.plans import catalog
+from tabulon.plans import catalog, roundtrips  # noqa: F401  registers its queries
 
 SF = "/root/testdata/sf0.001"
 
