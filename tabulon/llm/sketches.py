@@ -83,7 +83,10 @@ def _range_of(at: Column, h: Column, cuts: list[int]) -> Column:
         return F.lit(0).cast("long")
     steps = F.array(*(F.lit(1 << i) for i in reversed(range(len(edges).bit_length()))))
     edge = lambda i: F.element_at(_literal(edges, "bigint"), F.least(i, F.lit(len(edges))))
-    found = F.aggregate(steps, F.lit(0), lambda n, s: F.when((n + s <= len(edges)) & (edge(n + s) <= at), n + s).otherwise(n))
+    # the id goes through the state: as a free variable of the function the optimiser overlooks it
+    start = F.struct(F.lit(0).alias("n"), at.alias("at"))
+    step = lambda a, s: F.when((a["n"] + s <= len(edges)) & (edge(a["n"] + s) <= a["at"]), a["n"] + s).otherwise(a["n"])
+    found = F.aggregate(steps, start, lambda a, s: F.struct(step(a, s).alias("n"), a["at"].alias("at")), lambda a: a["n"])
     part = F.when(F.array_contains(_literal(heavy, "bigint"), at), F.call_function("shiftright", h, F.lit(58)) + PARTS // 2).otherwise(0) if heavy else F.lit(0)
     return (part - found.cast("long") * PARTS).cast("long")
 
@@ -109,11 +112,11 @@ def with_next(docs: DataFrame, values: dict[str, Column], id_col: str = "doc_id"
     # a row a range, whose number doesn't grow with the table: RANGES, and PARTS for each id that fills two of them
     tops = stored(rows.groupBy("__b").agg(F.min(F.struct((-1 - F.col("__at")).alias("a"), "__h")).alias("top")), "tops")
     heads = tops.withColumn("__of", F.coalesce(F.lag("__b").over(Window.orderBy("__b")), F.max("__b").over(Window.partitionBy())))
-    heads = heads.select(F.col("__b").alias("__hb"), (-1 - F.col("top.a")).alias("__ha"), F.col("top.__h").alias("__hh"), "__of")
+    heads = heads.select((-1 - F.col("top.a")).alias("__ha"), F.col("top.__h").alias("__hh"), "__of")
     place = Window.partitionBy("__b").orderBy(*order)
     own = rows.repartition("__b").withColumns(values).withColumn("__last", F.lead(F.lit(1)).over(place).isNull())
     own = own.withColumns({f"__in_{v}": F.lead(v).over(place) for v in values})
-    first = rows.join(F.broadcast(heads) if tops.count() <= BROADCAST_ROWS else heads, (F.col("__b") == F.col("__hb")) & (F.col("__at") == F.col("__ha")) & (F.col("__h") == F.col("__hh"))).groupBy("__of").agg(F.min(text_col).alias(text_col))
+    first = rows.join(F.broadcast(heads) if tops.count() <= BROADCAST_ROWS else heads, (F.col("__at") == F.col("__ha")) & (F.col("__h") == F.col("__hh"))).groupBy("__of").agg(F.min(text_col).alias(text_col))
     first = first.withColumns(values).select(F.col("__of").alias("__fb"), *(F.col(v).alias(f"__out_{v}") for v in values))
     out = own.join(first, own["__b"] == first["__fb"], "left")
     return out.select(*docs.columns, *values, *(F.when(F.col("__last"), F.col(f"__out_{v}")).otherwise(F.col(f"__in_{v}")).alias(f"next_{v}") for v in values))

@@ -178,3 +178,18 @@ def test_op10_on_a_small_table(spark):
     for (i, x), (_, y) in zip(docs, docs[1:] + docs[:1], strict=True):
         n = len(x) // 3
         assert got[i].edited_sha256 == hashlib.sha256((x[: len(x) - n] + y[:n]).encode()).hexdigest() and got[i].n_chars == len(x) and 0 <= got[i].near_next <= 1 and 0 <= got[i].near_edited <= 1
+
+
+def test_op10_where_broadcasts_are_small(spark, tmp_path):
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "256k")
+    try:
+        sketches.op10_fingerprints(spark, "/root/testdata/sf0.01").write.parquet(str(tmp_path / "x"))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    got = {r.doc_id: r for r in spark.read.parquet(str(tmp_path / "x")).collect()}
+    docs = sorted(((r.doc_id, r.text or "") for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()), reverse=True)
+    assert len(got) == len(docs)
+    for (i, x), (_, y) in zip(docs, docs[1:] + docs[:1], strict=True):
+        n = len(x) // 3
+        assert got[i].edited_sha256 == hashlib.sha256((x[: len(x) - n] + y[:n]).encode()).hexdigest()
