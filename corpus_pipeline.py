@@ -1,4 +1,8 @@
-"""A training corpus from ``documents``: language ID, SimHash near-dedup, PII, mixing, BPE; each stage written and read again."""
+"""A training corpus from ``documents``: language ID, SimHash near-dedup, PII, mixing, BPE; each stage written and read again.
+
+All stages take nulls in any column, texts of any length, repeated rows, empty tables and further columns of any name: a null text
+counts as empty, an empty table stays empty, and columns that a stage doesn't work on pass through (but for the last one).
+"""
 
 from __future__ import annotations
 
@@ -9,7 +13,7 @@ from tabulon.llm._base import load, prepare, stored
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; the text model is fitted on a bounded sample of those labelled."""
+    """Documents whose language can be told; the text model is fitted on a bounded sample of those labelled. Rows that repeat share their fate; without labelled rows none stays."""
     prepare(spark)
     return langid.identified(docs, langid.fit(docs))
 
