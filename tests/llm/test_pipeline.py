@@ -31,3 +31,14 @@ def test_stages(spark):
     texts = {r.doc_id: r.text for r in seen["mixing"]}
     for r in final:
         assert r.n_tokens == len(r.ids) and r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest() and r.ids_sha256 == hashlib.sha256(np.array(r.ids, "<u4").tobytes()).hexdigest()
+
+
+def test_stages_on_odd_rows(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    odd = spark.createDataFrame([(None, None, None, None, None), (7, "", "en", "s", 0), (None, "the cat and the dog ran over the hill", "en", None, 1), (9, "the cat and the dog ran over a hill " * 3000, "en", "s", 1)], docs.schema)
+    rows = docs.union(docs.limit(5)).union(odd).selectExpr("*", "1 AS h", "2 AS mix_size", "3 AS pii_id", "4 AS keep_id", "'x' AS t")
+    for some in (rows, rows.limit(0)):
+        for name, stage in P.STAGES:
+            some = P.stored(stage(spark, some, SF), name)
+            assert name == "bpe" or some.columns == rows.columns
+    assert some.count() == 0
