@@ -330,23 +330,23 @@ def similar_links(docs: DataFrame, prints: DataFrame, similarity: float, words:
     low = np.uint64((1 << bits) - 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows(sets: list[np.ndarray], fps: list[int]) -> pa.RecordBatch:
-            keys = band_keys(sets).ravel()
-            return pa.RecordBatch.from_arrays([pa.array((keys & low).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(np.repeat(np.array(fps, np.int64), BANDS))], names=["bucket", "key", "fp"])
+        def rows(held: list[np.ndarray]) -> pa.RecordBatch:
+            keys = band_keys([np.unique(h) for h in held]).ravel()
+            fps = np.repeat(majority(held).view(np.int64), BANDS)
+            return pa.RecordBatch.from_arrays([pa.array((keys & low).astype(np.int32)), pa.array(keys.view(np.int64)), pa.array(fps)], names=["bucket", "key", "fp"])
 
         for b in batches:
-            sets, fps, held = [], [], 0
+            held, size = [], 0
             for t in b.column(0):
                 hashes = shingle_hashes(t.as_py(), words)
                 if len(hashes):
-                    sets.append(np.unique(hashes))
-                    fps.append(int(majority([hashes]).view(np.int64)[0]))
-                    held += len(sets[-1])
-                if held > 200_000:
-                    yield rows(sets, fps)
-                    sets, fps, held = [], [], 0
-            if sets:
-                yield rows(sets, fps)
+                    held.append(hashes)
+                    size += len(hashes)
+                if size > 200_000:
+                    yield rows(held)
+                    held, size = [], 0
+            if held:
+                yield rows(held)
 
     def meet(group: pa.Table) -> pa.Table:
         key, fp = group["key"].to_numpy(), group["fp"].to_numpy()
