@@ -38,22 +38,25 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
 
     Targets share the sum of sizes by weight, weights repeating over sources by code point, null last; a target stops at
     ``most`` times its source's size and the excess is shared anew until none is above. Each round of sharing is an
-    aggregation, and the places are numbered in parallel, so that sources may be as many as hosts.
+    aggregation, and the places are numbered in parallel, so that sources may be as many as hosts. Sizes are multiplied as
+    decimals: a weight times the words of all sources is beyond an int in a few GB, and caps times many weights beyond a long.
     """
     placed = numbered(sizes, [F.col("source").asc_nulls_last()], "place")
     weight = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
     w = stored(placed.select("skey", "source_size", (F.col("source_size") * most).alias("cap"), weight.alias("w")), "weights")
+    whole = lambda c: c.cast("decimal(19,0)")
+    above_level = lambda: whole(F.col("cap")) * whole(F.lit(rest_w)) <= whole(F.col("w")) * whole(F.lit(rest))
     total, rest_w = w.agg(F.coalesce(F.sum("source_size"), F.lit(0)), F.coalesce(F.sum("w"), F.lit(0))).first()
     rest, full = total, None
     while rest_w:
         # who is above the level, among the sources that share it
-        above = F.col("cap") * F.lit(rest_w) <= F.col("w") * F.lit(rest)
+        above = above_level()
         caps, ws, n = w.agg(F.sum(F.when(above, F.col("cap"))), F.sum(F.when(above, F.col("w"))), F.count(F.when(above, 1))).first()
         if n == full:
             break
         full, rest, rest_w = n, total - (caps or 0), w.agg(F.sum("w")).first()[0] - (ws or 0)
-    level = (F.col("w") * F.lit(rest)).cast("double") / F.lit(float(rest_w or 1))
-    capped = F.col("cap") * F.lit(rest_w) <= F.col("w") * F.lit(rest) if rest_w else F.lit(True)
+    level = (whole(F.col("w")) * whole(F.lit(rest))).cast("double") / F.lit(float(rest_w or 1))
+    capped = above_level() if rest_w else F.lit(True)
     return w.select("skey", "source_size", F.when(capped, F.col("cap").cast("double")).otherwise(level).alias("target"))
 
 
