@@ -14,7 +14,7 @@ from ..functions.expr import Apply, Cast, Col, Expr, Lit, as_expr, col, probe
 from ..functions.lower import lower
 from ..functions.query import check_predicate, parse
 from .cutflow import Cut, CutflowReport
-from .table import ROW, Table, View, numpy_of, typed
+from .table import ROW, Table, View, hold, numpy_of, typed
 
 NAN = float("nan")
 
@@ -311,6 +311,10 @@ class Frame:
     def dict(self, copy: bool = True) -> dict[str, np.ndarray]:
         if not copy:
             raise ValueError("Spark holds no memory to point into; call with copy=True")
+        held = self._table._held
+        if held is not None and self._rows is None and not self._cuts and all(isinstance(e, Col) and e.name in held.column_names for e in self._exprs.values()):
+            self._table._open()
+            return numpy_of(held.select([e.name for e in self._exprs.values()]).rename_columns(list(self._exprs)), self.dtypes)
         return numpy_of(self.arrow(), self.dtypes)
 
     def array(self, name: str) -> np.ndarray:
@@ -333,11 +337,10 @@ class Frame:
     def iter_batches(self, batch_size: Any = None, *, copy: bool = True) -> Iterator[Frame]:
         """Frames over successive rows, in order; sized by rows or bytes. Partitions stream one after the other, as columns."""
         from ..sources.formats import batches
-        from .table import from_memory
-
+        dtypes = self.dtypes
         for t in batches(self, batch_size):
             if len(t):
-                yield from_memory(numpy_of(t, self.dtypes)).edit()
+                yield hold(numpy_of(t, dtypes)).edit()
 
     def write(self, path: str, *, memory_budget: Any = None, mode: str = "create") -> Table:
         from ..sources import formats

@@ -8,7 +8,9 @@ positions pays for them.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+import uuid
+from collections.abc import Iterable, Iterator
+from functools import cached_property
 from typing import Any
 
 import numpy as np
@@ -29,12 +31,18 @@ ROW = "__row_id"
 BROADCAST_ROWS = 2_000_000
 #: Files up to which offsets are broadcast, and up to which a position range names the files that it meets.
 BROADCAST_FILES, NAMED_FILES = 100_000, 1_000
+#: Bytes of held columns that a union gathers; more go to the folder in ``spark.checkpoint.dir``, so many at a time.
+GATHERED_BYTES = 8 << 20
 
 
 def session() -> SparkSession:
     return SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
 
 
+def shared_folder() -> str | None:
+    return session().conf.get("spark.checkpoint.dir", None)
+
+
 def columns_of(data: Any) -> dict[str, np.ndarray]:
     """One-dimensional arrays of a dict, structured array or pandas frame; TypeError for objects, ValueError for ragged columns."""
     if isinstance(data, np.ndarray):
@@ -378,9 +386,16 @@ class Table(Selectable):
 
     _single = False
 
-    def __init__(self, df: DataFrame, dtypes: dict[str, np.dtype], files: list[str] | None = None, rows: DataFrame | None = None):
-        self._df, self._dtypes, self._files, self._row_df, self._n, self._places = df, dtypes, files or [], rows, None, None
+    def __init__(self, df: DataFrame | None, dtypes: dict[str, np.dtype], files: list[str] | None = None, rows: DataFrame | None = None, held: pa.Table | None = None, n: int | None = None):
+        self._dtypes, self._files, self._row_df, self._n, self._places, self._held = dtypes, files or [], rows, n, None, held
         self._names, self._table, self.closed = list(dtypes), self, False
+        if df is not None:
+            self._df = df
+
+    @cached_property
+    def _df(self) -> DataFrame:
+        """Held columns go to Spark once a plan asks for them."""
+        return self._with_rows().drop(ROW)
 
     @property
     def spark(self) -> SparkSession:
@@ -427,7 +442,7 @@ class Table(Selectable):
         """The table's rows with their global position: all, or those of the files that the positions ``asked`` (or what lies ``between`` two) meet."""
         self._open()
         if self._row_df is None and not self._files:
-            self._row_df = in_order(self._df)
+            self._row_df = in_order(self._df) if self._held is None else _passed(self._held, self._dtypes)
         if self._row_df is not None:
             return self._row_df
         pieces = self._pieces()
@@ -451,7 +466,7 @@ class Table(Selectable):
     def append(self, source: Any, on_mismatch: str = "strict") -> Table:
         """The table grown in place by another one; unchanged if the schemas don't fit."""
         grown = union([self, open_table(source, on_mismatch=on_mismatch)], on_mismatch)
-        self.__dict__.update(grown.__dict__ | {"_table": self})
+        self.__dict__ = grown.__dict__ | {"_table": self}
         return self
 
     def __or__(self, other: Any) -> Table:
@@ -474,11 +489,21 @@ def table_of(df: DataFrame, files: list[str] | None = None) -> Table:
 
 def from_memory(data: Any, spark: SparkSession | None = None) -> Table:
     columns = columns_of(data)
-    arrow = arrow_of(columns).append_column(ROW, pa.array(np.arange(len(next(iter(columns.values()))))))
-    dtypes = {n: v.dtype for n, v in columns.items()}
-    df = (spark or session()).createDataFrame(arrow)
-    df = df.select(*(F.col(f"`{n}`").alias(n, metadata=field(n, t).metadata) for n, t in dtypes.items()), ROW)
-    return Table(df.drop(ROW), dtypes, None, df)
+    arrow, dtypes = arrow_of(columns), {n: v.dtype for n, v in columns.items()}
+    df = _passed(arrow, dtypes, spark=spark)
+    return Table(df.drop(ROW), dtypes, None, df, n=len(arrow))
+
+
+def hold(columns: dict[str, np.ndarray]) -> Table:
+    """A table of arrays that nobody changes. They stay as Arrow columns here until a plan asks for them, and a union takes many at once."""
+    arrow = arrow_of(columns_of(columns))
+    return Table(None, {n: v.dtype for n, v in columns.items()}, held=arrow, n=len(arrow))
+
+
+def _passed(arrow: pa.Table, dtypes: dict[str, np.dtype], start: int = 0, spark: SparkSession | None = None) -> DataFrame:
+    """Arrow columns as a DataFrame with row ids from ``start`` on."""
+    df = (spark or session()).createDataFrame(arrow.append_column(ROW, pa.array(np.arange(start, start + len(arrow)))))
+    return df.select(*(F.col(f"`{n}`").alias(n, metadata=field(n, t).metadata) for n, t in dtypes.items()), ROW)
 
 
 def open_table(source: Any, *, on_mismatch: str = "strict", spark: SparkSession | None = None, **_ignored: Any) -> Table:
@@ -508,7 +533,7 @@ def _common(kinds: list[dict[str, np.dtype]], on_mismatch: str) -> dict[str, np.
     if on_mismatch not in ("strict", "drop"):
         raise ValueError("on_mismatch is 'strict' or 'drop'")
     kinds = [k for k in kinds if k] or kinds
-    same = {n: t for n, t in kinds[0].items() if all(n in k and k[n].kind == t.kind and (t.kind in "SU" or k[n] == t) for k in kinds)}
+    same = {n: _widest([k[n] for k in kinds]) for n, t in kinds[0].items() if all(n in k and k[n].kind == t.kind and (t.kind in "SU" or k[n] == t) for k in kinds)}
     if on_mismatch == "strict" and any(set(k) != set(same) for k in kinds):
         raise ValueError("the tables have different columns or dtypes")
     if not same:
@@ -520,18 +545,97 @@ def _common(kinds: list[dict[str, np.dtype]], on_mismatch: str) -> dict[str, np.
     return same
 
 
-def union(parts: list[Table], on_mismatch: str = "strict") -> Table:
-    """All rows of all parts, in order; positions run on."""
+def _widest(same: list[np.dtype]) -> np.dtype:
+    """The dtype that holds text of all; a width of 0 is any width."""
+    return min(same, key=lambda t: t.itemsize) if not all(t.itemsize for t in same) else max(same, key=lambda t: t.itemsize)
+
+
+def union(parts: Iterable[Table], on_mismatch: str = "strict") -> Table:
+    """All rows of all parts, in order; positions run on. Held columns are gathered as they come."""
+    parts = list(_gathered(parts))
     if not parts:
         return Table(session().createDataFrame([], "__none int").drop("__none"), {}, [])
     names = _common([p._dtypes for p in parts], on_mismatch)
     parts = [p for p in parts if p._dtypes]
-    plain, numbered, at = None, None, 0
+    plain, numbered, at = [], [], 0
     for p in parts:
-        a, b = p._df.select(*(f"`{n}`" for n in names)), p._with_rows().select(*(f"`{n}`" for n in names), (F.col(ROW) + at).alias(ROW))
-        plain, numbered = (a, b) if plain is None else (plain.unionByName(a), numbered.unionByName(b))
+        made = [F.col(f"`{n}`") if p._dtypes[n] == t else F.col(f"`{n}`").alias(n, metadata=field(n, t).metadata) for n, t in names.items()]
+        plain.append(p._df.select(*made))
+        numbered.append(p._with_rows().select(*made, (F.col(ROW) + at).alias(ROW)))
         at += p._count()
-    return Table(plain, names, [f for p in parts for f in p._files], numbered)
+    return Table(_stacked(plain), names, [f for p in parts for f in p._files], _stacked(numbered), n=at)
+
+
+def _stacked(frames: list[DataFrame]) -> DataFrame:
+    """Rows of all, in order; two and two, since every union analyses the plan below it."""
+    while len(frames) > 1:
+        frames = [frames[i].unionByName(frames[i + 1]) if i + 1 < len(frames) else frames[i] for i in range(0, len(frames), 2)]
+    return frames[0]
+
+
+def _gathered(parts: Iterable[Table]) -> Iterator[Table]:
+    """The parts, with neighbours that hold columns of the same dtypes as one table."""
+    run = None
+    for p in parts:
+        if run is not None and not run.takes(p):
+            yield run.table()
+            run = None
+        if p._held is None:
+            yield p
+        else:
+            run = run or _Run()
+            run.add(p)
+    if run is not None:
+        yield run.table()
+
+
+class _Run:
+    """Held tables in a row: kept as Arrow columns up to ``GATHERED_BYTES``; beyond that stored with their row ids, if a shared folder is set."""
+
+    def __init__(self) -> None:
+        self.dtypes: dict[str, np.dtype] = {}
+        self.held: list[pa.Table] = []
+        self.bytes, self.stored, self.path, self.schema = 0, 0, None, None
+
+    def takes(self, p: Table) -> bool:
+        return p._held is not None and p._dtypes.keys() == self.dtypes.keys() and all(t.kind == p._dtypes[n].kind and (t.kind in "SU" or t == p._dtypes[n]) for n, t in self.dtypes.items())
+
+    def add(self, p: Table) -> None:
+        p._open()
+        self.dtypes = {n: _widest([t, p._dtypes[n]]) for n, t in (self.dtypes or p._dtypes).items()}
+        self.held.append(p._held.select(list(self.dtypes)))
+        self.bytes += self.held[-1].nbytes
+        if self.bytes > GATHERED_BYTES and (shared := shared_folder()):
+            self.path = self.path or f"{shared.rstrip('/')}/union-{uuid.uuid4().hex}"
+            self.store()
+
+    def store(self) -> None:
+        """One file of the rows at hand. They travel as one value of bytes: as rows of a plan they would take many times that of the driver's heap."""
+        from pyspark.sql.pandas.types import _check_arrow_table_timestamps_localize, to_arrow_schema
+
+        def unpack(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for p in parts:
+                for b in p.column(0):
+                    yield from pa.ipc.open_stream(b.as_buffer())
+
+        spark, arrow, sink = session(), pa.concat_tables(self.held).combine_chunks(), pa.BufferOutputStream()
+        self.schema = _passed(arrow.slice(0, 0), self.dtypes).schema
+        arrow = arrow.append_column(ROW, pa.array(np.arange(self.stored, self.stored + len(arrow))))
+        arrow = _check_arrow_table_timestamps_localize(arrow, self.schema, True, spark.conf.get("spark.sql.session.timeZone")).cast(to_arrow_schema(self.schema))
+        with pa.ipc.new_stream(sink, arrow.schema) as w:
+            w.write_table(arrow, max_chunksize=10_000)
+        packed = spark.createDataFrame(pa.table({"part": pa.array([sink.getvalue().to_pybytes()], pa.binary())}))
+        packed.mapInArrow(unpack, self.schema).write.mode("append").parquet(self.path)
+        self.held, self.bytes, self.stored = [], 0, self.stored + len(arrow)
+
+    def table(self) -> Table:
+        if self.path is None:
+            arrow = pa.concat_tables(self.held).combine_chunks()
+            return Table(None, self.dtypes, held=arrow, n=len(arrow))
+        if self.held:
+            self.store()
+        df = session().read.schema(self.schema).parquet(self.path)
+        return Table(df.drop(ROW), self.dtypes, None, df, n=self.stored)
 
 
 def in_order(df: DataFrame) -> DataFrame:

@@ -154,7 +154,7 @@ query("custom_format", "nation", "SELECT CAST(n_nationkey AS BIGINT) AS n_nation
 # memory and batches
 _L = "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45"
 _big = lambda t: t.edit().where("l_quantity > 45").select("l_orderkey", "l_quantity")
-query("iter_batches", "lineitem", _L)(lambda t, p: union([b._table for b in _big(t).iter_batches(1000)]))
+query("iter_batches", "lineitem", _L)(lambda t, p: union(b._table for b in _big(t).iter_batches(1000)))
 query("export_batches", "lineitem", _L)(lambda t, p: t.spark.createDataFrame(pa.concat_tables(formats.batches(_big(t), "8 KiB"))))
 query("to_arrow", "supplier", "SELECT * FROM supplier")(lambda t, p: t.spark.createDataFrame(pa.table(t.to("arrow"))))
 query("to_recarray", "supplier", "SELECT * FROM supplier")(lambda t, p: from_memory(t.recarray()))
